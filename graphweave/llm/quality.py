@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "y": batch["y"], "stats": list(_stats_of(common.texts_of(batch["text"])))})
+            yield pd.DataFrame({"key": batch["key"], "y": batch["y"], "stats": pd.Series(list(_stats_of(common.texts_of(batch["text"]))), dtype=object)})
 
     seen = common.materialize(joined.mapInPandas(measure, "key bigint, y double, stats array<double>"), "quality-train")
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 from graphweave.llm.language_id import op3_language_id
+from graphweave.llm.ngram_join import op2_ngram_jaccard_join
 from graphweave.llm.quality import op5_quality_classifier
 from graphweave.llm.secrets import op4_secret_scan
 
 
 def queries() -> dict:
     return {
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_language_id": op3_language_id,
         "op4_secret_scan": op4_secret_scan,
         "op5_quality_classifier": op5_quality_classifier,

@@ -147,7 +147,7 @@ def labelled_samples(docs: DataFrame, text: str = "text", key: str = "doc_id", r
                     got.append((max(free, key=len).decode("ascii")[:256], 0))
             yield pd.DataFrame(got, columns=["value", "label"])
 
-    found = [(r["value"], r["label"]) for r in picked.select("text").mapInPandas(pick, "value string, label int").orderBy("value", "label").collect()]
+    found = sorted((r["value"], r["label"]) for r in picked.select("text").mapInPandas(pick, "value string, label int").collect())
     rng = random.Random(7)
     alphabets = [VALUE.decode()[:62], VALUE.decode()[:64], VALUE.decode()[26:62], VALUE.decode()[:26] + VALUE.decode()[52:62]]
     made = ["".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randint(16, 48))) for k in range(GENERATED)]
