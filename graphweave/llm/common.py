@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,8 +40,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless they find it by PYTHONPATH or the working folder anyway."""
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    known = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    if context.applicationId in _shipped or root in known or not root.is_dir():
+        return
+    _shipped.add(context.applicationId)
+    target = Path(os.path.realpath(tempfile.mkdtemp(prefix="graphweave-"))) / "graphweave_package.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted((root / "graphweave").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(target))
+
+
 def bounded_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Keeps Arrow batches of texts small, so that a Python worker holds few texts at once."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
