@@ -12,63 +12,144 @@ import base64
 import os
 import re
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from graphweave.llm import common
 
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
-#: Bound on the chunks that an encoder remembers; it forgets them all when it is reached.
-REMEMBERED = 400_000
+#: Bound on the chunks that an encoder remembers; when it is reached, those met once are forgotten.
+REMEMBERED = 1_200_000
+#: Of ASCII, but for the apostrophe, which the patterns keep with some letters.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+Flat = tuple[np.ndarray, np.ndarray]  # ids one after another, and how many belong to each
+
+
+def _usual(text: str) -> bool:
+    """Words with one blank or line end between them; all other white space is unprintable."""
+    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", " \n", "\n ", "\n\n")) and text.replace("\n", "").isprintable()
+
+
+def _keys(text: str) -> list[str]:
+    """The chunks of any text: without their blank if they begin with one, after NUL if with neither blank nor line end."""
+    chunks = CHUNK.findall(text) if not OTHER_SPACE.search(text) else [text]
+    return [c[1:] if len(c) > 1 and c[0] == " " and c[1] not in " \n\0" else c if c[0] == "\n" else "\0" + c for c in chunks]
+
+
+def _keys_of_usual(texts: list[str]) -> pa.ListArray:
+    """The same for texts that are ``_usual``, in Arrow."""
+    return pc.split_pattern(pa.array(["\0" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+
+
+def _chunk(key: str) -> str:
+    return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
 
 
 class Memo:
-    """Encodes texts by distinct chunks; ``encode`` gives the ids of each of a list of strings."""
+    """Encodes texts by distinct chunks; ``encode`` gives the ids of a list of strings.
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], remembered: int = REMEMBERED):
-        self._encode, self._limit = encode, remembered
-        self._forget()
+    A new chunk that ends with punctuation after a letter is put together from its word and its
+    punctuation, which no splitting pattern here keeps in one piece.
+    """
 
-    def _forget(self) -> None:
+    def __init__(self, encode: Callable[[list[str]], Flat], remembered: int = REMEMBERED):
+        self._encode, self._limit = encode, remembered
         self._at: dict[str, int] = {}
-        self._start, self._count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._start, self._count, self._met = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.uint8)
         self._ids, self._used = np.zeros(4096, np.int32), 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        for chunk, ids in zip(chunks, self._encode(chunks)):
-            k, n = len(self._at), len(ids)
-            if k == len(self._start):
-                self._start, self._count = np.resize(self._start, 2 * k), np.resize(self._count, 2 * k)
-            if self._used + n > len(self._ids):
-                self._ids = np.resize(self._ids, 2 * (self._used + n))
-            self._at[chunk], self._start[k], self._count[k] = k, self._used, n
-            self._ids[self._used : self._used + n] = ids
-            self._used += n
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _store(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        first, n = len(self._at), len(keys)
+        while first + n > len(self._start):
+            self._start, self._count, self._met = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._count, self._met))
+        if self._used + len(ids) > len(self._ids):
+            self._ids = np.concatenate([self._ids[: self._used], np.zeros(self._used + 2 * len(ids), np.int32)])
+        self._at.update(zip(keys, range(first, first + n)))
+        self._start[first : first + n] = self._used + np.cumsum(counts) - counts
+        self._count[first : first + n] = counts
+        self._met[first : first + n] = 0
+        self._ids[self._used : self._used + len(ids)] = ids
+        self._used += len(ids)
+
+    def _learn(self, keys: list[str]) -> None:
+        whole, joined, parts = [], [], []
+        for key in keys:
+            word = key.rstrip(PUNCTUATION)
+            if len(word) < len(key) and word and word[-1].isalpha() and "<|" not in key:
+                joined.append(key)
+                parts += [word, "\0" + key[len(word) :]]
+            else:
+                whole.append(key)
+        whole = [k for k in dict.fromkeys(whole + parts) if k not in self._at]
+        if whole:
+            self._store(whole, *self._encode([_chunk(k) for k in whole]))
+        joined = [(k, *parts[2 * n : 2 * n + 2]) for n, k in enumerate(joined) if k not in self._at]
+        if joined:
+            which = np.array([self._at[x] for _, word, end in joined for x in (word, end)], np.int64)
+            counts = self._count[which]
+            self._store([k for k, _, _ in joined], self._ids[common.ranges(self._start[which], counts)], counts.reshape(-1, 2).sum(axis=1))
+
+    def _forget(self) -> None:
+        """What was met once goes, or everything if that frees too little."""
+        n = len(self._at)
+        kept = np.flatnonzero(self._met[:n] > 1)
+        if len(kept) > self._limit // 2:
+            kept = kept[:0]
+        number = np.full(n, -1)
+        number[kept] = np.arange(len(kept))
+        self._at = {k: int(number[x]) for k, x in self._at.items() if number[x] >= 0}
+        ids = self._ids[common.ranges(self._start[kept], self._count[kept])]
+        self._used, self._ids = len(ids), ids
+        self._count[: len(kept)], self._met[: len(kept)] = self._count[kept], 1
+        self._start[: len(kept)] = np.cumsum(self._count[: len(kept)]) - self._count[: len(kept)]
+
+    def _known(self, keys: list[str]) -> np.ndarray:
+        """The places of distinct keys; those that are new are learned."""
+        get = self._at.get
+        which = np.fromiter([get(k, -1) for k in keys], np.int64, len(keys))
+        unknown = np.flatnonzero(which < 0)
+        if len(unknown):
+            new = [keys[k] for k in unknown.tolist()]
+            self._learn(new)
+            which[unknown] = [self._at[k] for k in new]
+        return which
+
+    def __call__(self, texts: list[str]) -> Flat:
         """All ids, one text after another, and the number of ids of each text."""
         parts, counts = [], []
-        for begin, end in common.by_size(texts):
-            chunks, ends = [], []
-            for text in texts[begin:end]:
-                chunks += [text] if OTHER_SPACE.search(text) else CHUNK.findall(text)
-                ends.append(len(chunks))
+        for begin, end in common.by_size(texts, 2_000_000):
             if len(self._at) > self._limit:
                 self._forget()
-            new = [c for c in dict.fromkeys(chunks) if c not in self._at]
-            if new:
-                self._learn(new)
-            which = np.fromiter(map(self._at.__getitem__, chunks), np.int64, len(chunks))
-            count = self._count[which]
-            parts.append(self._ids[common.ranges(self._start[which], count)])
-            sums = np.concatenate(([0], np.cumsum(count)))[np.concatenate(([0], ends))]
-            counts.append(np.diff(sums))
+            block = texts[begin:end]
+            usual = [_usual(t) for t in block]
+            runs = np.flatnonzero(np.diff([2, *usual, 2]))
+            for a, b in zip(runs[:-1].tolist(), runs[1:].tolist()):
+                if usual[a]:
+                    lists = _keys_of_usual(block[a:b])
+                    keys, limits = lists.values, lists.offsets.to_numpy()
+                else:
+                    own = [_keys(t) if t else [] for t in block[a:b]]
+                    keys, limits = pa.array([k for x in own for k in x], pa.large_string()), np.concatenate(([0], np.cumsum([len(x) for x in own])))
+                coded = keys.dictionary_encode()
+                which = self._known(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+                self._met[which] = np.minimum(self._met[which], 1) + 1
+                count = self._count[which]
+                parts.append(self._ids[common.ranges(self._start[which], count)])
+                counts.append(np.diff(np.concatenate(([0], np.cumsum(count, dtype=np.int64)))[limits]))
         if not parts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         return np.concatenate(parts), np.concatenate(counts)
 
 
+def flat(lists: Sequence[Sequence[int]]) -> Flat:
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
+
+
 _kept: dict[tuple, object] = {}
 
 
@@ -79,13 +160,36 @@ def once(build: Callable, *args):
     return _kept[key]
 
 
+TOGETHER = 256
+
+
 def library_encoder(path: str) -> Memo:
-    """A vocabulary file of the tokenizers library, without added special tokens."""
+    """A vocabulary file of the tokenizers library, without added special tokens.
+
+    The library takes a text apart at special tokens before all else, so chunks are handed over
+    many at a time with one between them.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return Memo(lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+    special = {t.content: k for k, t in tokenizer.get_added_tokens_decoder().items()}
+    between = next(iter(special), None)
+
+    def each(chunks: list[str]) -> Flat:
+        return flat([e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+
+    def encode(chunks: list[str]) -> Flat:
+        if between is None or any(s in c for c in chunks if "<" in c for s in special):
+            return each(chunks)
+        groups = [between.join(chunks[k : k + TOGETHER]) for k in range(0, len(chunks), TOGETHER)]
+        ids, sizes = flat([e.ids for e in tokenizer.encode_batch_fast([g + between for g in groups], add_special_tokens=False)])
+        ends = np.flatnonzero(ids == special[between])
+        if len(ends) != len(chunks):
+            return each(chunks)
+        return ids[ids != special[between]], np.diff(ends, prepend=-1) - 1
+
+    return Memo(encode)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,7 +202,7 @@ def rank_encoder(path: str, pattern: str) -> Memo:
     import tiktoken
 
     encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    return Memo(lambda chunks: encoding.encode_ordinary_batch(chunks, num_threads=1))
+    return Memo(lambda chunks: flat([encoding.encode_ordinary(c) for c in chunks]))
 
 
 def splits(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:

@@ -85,12 +85,13 @@ class Encoder:
         self._first = np.cumsum(self._length) - self._length
         self.encode = bpe.Memo(self._chunks)
 
-    def _chunks(self, chunks: list[str]) -> list[list[int]]:
+    def _chunks(self, chunks: list[str]) -> bpe.Flat:
         split = [self._pattern.findall(c) for c in chunks]
         tokens = list(dict.fromkeys(t for own in split for t in own))
         spelled = [t.encode("utf-8").decode("latin-1").translate(self._spelled) for t in tokens]
-        ids = {t: [x - 1 for x in got] for t, got in zip(tokens, self._model.encode(spelled, out_type=int, num_threads=1))}
-        return [[x for t in own for x in ids[t]] for own in split]
+        ids = dict(zip(tokens, self._model.encode(spelled, out_type=int, num_threads=1)))
+        pieces, counts = bpe.flat([[x for t in own for x in ids[t]] for own in split])
+        return pieces - 1, counts
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         length = self._length[ids]

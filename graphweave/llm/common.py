@@ -93,12 +93,12 @@ def code_points(text: str) -> np.ndarray:
 
 def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """``begin[i], begin[i]+1, ...`` (``count[i]`` numbers) for each i, one after another."""
-    count = np.asarray(count, np.int64)
-    total = int(count.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    ends = np.cumsum(count)
-    return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(begin, np.int64) - (ends - count), count)
+    ends = np.cumsum(count, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 2**31 and (not len(begin) or int(begin.max()) < 2**31) else np.int64
+    out = np.repeat((np.asarray(begin, np.int64) - (ends - count)).astype(kind), count)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def texts_of(values: Iterable) -> list[str]:

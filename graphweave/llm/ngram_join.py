@@ -8,7 +8,9 @@ until its rare tokens plus, for each frequent class, its tokens less one exceed
 them share a rare token or a pair of tokens of one frequent class. Rare tokens and pairs are
 therefore indexed. Every entry also carries how many tokens its set is sure to miss in a partner
 that first meets it there; together with the sizes this bounds the overlap, and most candidates
-fall without being looked at.
+fall without being looked at. Those that stay are compared by a bitmap of the parity of their
+tokens' hashes, which differs in no more bits than the sets differ in tokens, and only then by
+their sets.
 
 Large groups need no pairs of all their members. Each entry's members are first verified against
 one centre, the links' components are found, and only pairs of members that are still apart and
@@ -38,6 +40,7 @@ from graphweave.llm.shingles import identity, mix, shingle_sets
 
 COUNTER_BITS, COUNTER_BLOCK = 20, 1 << 14
 FILTER_BITS = 23
+PARITY_WORDS = 8
 SINGLES_BELOW, PER_CLASS = 16, 64
 
 
@@ -100,6 +103,12 @@ class Signatures:
                 yield from zip(pairs.tolist(), (len(rare) + second - 1).tolist())
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """For each of ``64 * PARITY_WORDS`` buckets whether an odd number of tokens falls there."""
+    buckets = (mix(tokens) % np.uint64(64 * PARITY_WORDS)).astype(np.int64)
+    return np.packbits((np.bincount(buckets, minlength=64 * PARITY_WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sum_blocks(group: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(x, np.int64) for x in group["counts"])
     return pd.DataFrame({"block": [int(group["block"].iloc[0])], "counts": [total.tobytes()]})
@@ -121,25 +130,30 @@ class JaccardJoin:
 
     def _measure(self) -> None:
         """Sets' sizes and identities of all documents, and the counter table."""
-        width = self.width
+        width, words = self.width, [f"p{k}" for k in range(PARITY_WORDS)]
+        longs = ["doc_id", "n", "a", "b", *words]
 
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counters = np.zeros(1 << COUNTER_BITS, np.int64)
             for batch in batches:
-                n, one, two = [], [], []
+                n, one, two, bits = [], [], [], []
                 for found in shingle_sets(common.texts_of(batch["text"]), width):
                     np.add.at(counters, (found & np.uint64(len(counters) - 1)).astype(np.int64), 1)
                     a, b = identity(found)
-                    n.append(len(found)), one.append(a), two.append(b)
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": pd.array(n, "Int64"), "a": pd.array(one, "Int64"), "b": pd.array(two, "Int64"), "block": None, "counts": None})
+                    n.append(len(found)), one.append(a), two.append(b), bits.append(parity(found))
+                planes = np.array(bits, np.int64).reshape(-1, PARITY_WORDS).T
+                columns = [batch["doc_id"].astype("Int64"), *[pd.array(x, "Int64") for x in (n, one, two, *planes)]]
+                yield pd.DataFrame(dict(zip(longs, columns)) | {"block": None, "counts": None})
             for k in range(0, len(counters), COUNTER_BLOCK):
                 part = counters[k : k + COUNTER_BLOCK]
                 if part.any():
-                    yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": pd.array([None], "Int64"), "a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "block": [k], "counts": [part.tobytes()]})
+                    yield pd.DataFrame({c: pd.array([None], "Int64") for c in longs} | {"block": [k], "counts": [part.tobytes()]})
 
-        both = common.materialize(self.docs.mapInPandas(measure, "doc_id bigint, n bigint, a bigint, b bigint, block int, counts binary"), "sets")
+        both = common.materialize(self.docs.mapInPandas(measure, ", ".join(f"{c} bigint" for c in longs) + ", block int, counts binary"), "sets")
         self.sets = both.where("block is null").select("doc_id", "n", "a", "b")
-        self.classes = self.sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
+        filled = both.where("n > 0")
+        self.classes = filled.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
+        self.planes = filled.groupBy("a", "b", "n").agg(*[F.min(c).alias(c) for c in words])
         self.counters = np.zeros(1 << COUNTER_BITS, np.int64)
         blocks = both.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_sum_blocks, "block int, counts binary")
         for row in blocks.collect():  # as many counters as COUNTER_BITS says
@@ -173,8 +187,16 @@ class JaccardJoin:
             f" and cast(least({x}.n - {x}.miss, {y}.n - {y}.miss) as bigint) * {self.num + self.den} >= cast({x}.n + {y}.n as bigint) * {self.num}"
         )
 
-    def _texts_sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, rep, n, tokens) of the classes whose node is in ``nodes``; a filter of fixed size spares the others the work."""
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (x, y) of nodes whose parity bitmaps leave room for the similarity."""
+        sides = [self.planes.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"), F.array(*[f"p{k}" for k in range(PARITY_WORDS)]).alias(f"p_{c}")) for c in "xy"]
+        differ = " + ".join(f"bit_count(p_x[{k}] ^ p_y[{k}])" for k in range(PARITY_WORDS))
+        # shared tokens are at most (n_x + n_y - differ) / 2
+        kept = pairs.join(sides[0], "x").join(sides[1], "y").where(f"(n_x + n_y - ({differ})) * {self.num + self.den} >= 2 * (n_x + n_y) * {self.num}")
+        return kept.select("x", "y").distinct()
+
+    def _sets_of(self, nodes: DataFrame) -> DataFrame:
+        """(a, b, tokens) of the classes whose node is in ``nodes``, and a few others: a filter of fixed size spares the rest the work."""
         width = self.width
 
         def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,26 +210,33 @@ class JaccardJoin:
         wanted = self.spark.sparkContext.broadcast(np.unpackbits(np.frombuffer(bytes(got[0]["bits"]), np.uint8)).astype(bool) if got else np.zeros(1 << FILTER_BITS, bool))
 
         def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            done: set[tuple[int, int]] = set()
             for batch in batches:
                 batch = batch[batch["doc_id"].notna()]
                 ids = batch["doc_id"].to_numpy(np.int64)
                 batch = batch[wanted.value[mix(ids.view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)]]
-                rows = [(int(i), identity(found), found) for i, found in zip(batch["doc_id"], shingle_sets(common.texts_of(batch["text"]), width)) if len(found)]
-                yield pd.DataFrame({"rep": pd.array([r[0] for r in rows], "int64"), "a": pd.array([r[1][0] for r in rows], "int64"), "b": pd.array([r[1][1] for r in rows], "int64"), "tokens": pd.Series([r[2].view(np.int64) for r in rows], dtype=object)})
+                rows = []
+                for found in shingle_sets(common.texts_of(batch["text"]), width):
+                    own = identity(found)
+                    if len(found) and own not in done:
+                        done.add(own)
+                        rows.append((*own, found.view(np.int64)))
+                yield pd.DataFrame({"a": pd.array([r[0] for r in rows], "int64"), "b": pd.array([r[1] for r in rows], "int64"), "tokens": pd.Series([r[2] for r in rows], dtype=object)})
 
-        found = self.docs.mapInPandas(tokens, "rep bigint, a bigint, b bigint, tokens array<bigint>")
-        kept = found.join(self.classes.select("a", "b", "rep").join(nodes, F.col("a") == F.col("node"), "left_semi").hint("shuffle_merge"), ["a", "b", "rep"]).dropDuplicates(["a", "b", "rep"])
-        return common.materialize(kept.select(F.col("a").alias("node"), "rep", "tokens"), "tokens")
+        return common.materialize(self.docs.mapInPandas(tokens, "a bigint, b bigint, tokens array<bigint>"), "tokens")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Links (u, v: representatives, u < v) among the pairs (x, y) of nodes."""
-        pairs = common.materialize(pairs, "pairs")
+        pairs = common.materialize(self._near(pairs), "pairs")
         nodes = pairs.select(F.col("x").alias("node")).unionAll(pairs.select(F.col("y").alias("node"))).distinct()
-        sets = self._texts_sets(nodes)
-        left, right = (sets.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("tokens").alias(f"tokens_{c}")) for c in "xy")
+        sets = self._sets_of(nodes)
+        left, right = (sets.select(F.col("a").alias(c), F.col("b").alias(f"b_{c}"), F.col("tokens").alias(f"tokens_{c}")) for c in "xy")
         shared, both = "size(array_intersect(tokens_x, tokens_y))", "(size(tokens_x) + size(tokens_y))"
-        links = pairs.join(left, "x").join(right, "y").where(f"cast({shared} as bigint) * {self.num + self.den} >= cast({both} as bigint) * {self.num}")
-        return common.materialize(links.select(F.least("rep_x", "rep_y").alias("u"), F.greatest("rep_x", "rep_y").alias("v")).distinct(), "links")
+        linked = pairs.join(left, "x").join(right, "y").where(f"cast({shared} as bigint) * {self.num + self.den} >= cast({both} as bigint) * {self.num}")
+        named = linked.select("x", "b_x", "y", "b_y").distinct()
+        for c in "xy":
+            named = named.join(self.classes.select(F.col("a").alias(c), F.col("b").alias(f"b_{c}"), F.col("rep").alias(f"rep_{c}")), [c, f"b_{c}"])
+        return common.materialize(named.select(F.least("rep_x", "rep_y").alias("u"), F.greatest("rep_x", "rep_y").alias("v")).where("u < v").distinct(), "links")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links between representatives that connect what is connected, and (node, component) of the linked representatives."""

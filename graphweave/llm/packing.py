@@ -4,9 +4,9 @@ Documents are cut only if they exceed a sequence; full pieces take a sequence ea
 count by their length alone, and there are fewer lengths than places in a sequence, so the
 packing is found for the histogram: a list of fillings with the number of sequences that get each.
 Bin completion takes the largest length, enumerates its undominated fillings, and branches, each
-filling as often as the histogram lets it; a branch ends when its sequences and the bound for
-what is left reach the best solution so far. Best fit of what is left gives every node an
-incumbent. The pieces then find their places by their rank among those of their length, from
+filling as often as the histogram lets it; a branch ends when its waste leaves no room for a
+solution with fewer sequences than the best so far. Best fit of what is left, taken now and then
+on the way down, gives incumbents. The pieces then find their places by their rank among those of their length, from
 ranks within tasks and running totals of the tasks' histograms.
 
 The search ends at the lower bound or after ``NODES`` nodes, with the best solution found.
@@ -31,7 +31,8 @@ from pyspark.sql.window import Window
 from graphweave.llm import bpe, common
 
 CAPACITY, END_ID = 2048, 0
-NODES, FILLINGS, STEPS = 300, 12, 4000
+NODES, FILLINGS, STEPS = 6000, 8, 1500
+INCUMBENT_EVERY = 100
 Filling = tuple[tuple[int, int], ...]  # (length, how many), lengths descending
 Solution = list[tuple[Filling, int]]
 
@@ -118,51 +119,49 @@ def fillings(counts: dict[int, int], capacity: int, most: int = FILLINGS) -> lis
 def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Solution:
     """Fillings and how many sequences get each, for ``counts`` pieces of each length."""
     counts = {x: n for x, n in counts.items() if n}
-    best = best_fit(counts, capacity) if counts else []
+    if not counts:
+        return []
     size = lambda solution: sum(times for _, times in solution)
-    target, budget = lower_bound(counts, capacity), [nodes]
-    most_waste = lambda: (size(best) - 1) * capacity - sum(x * n for x, n in counts.items())
-
-    def branch(left: dict[int, int], chosen: Solution, used: int, waste: int) -> None:
-        nonlocal best
-        if size(best) <= target or budget[0] <= 0:
-            return
-        budget[0] -= 1
-        if not left:
-            if used < size(best):
-                best = chosen
-            return
-        rest = best_fit(left, capacity)
-        if used + size(rest) < size(best):
-            best = chosen + rest
-        if used + lower_bound(left, capacity) >= size(best):
-            return
-        for filling in fillings(left, capacity):
-            times = min(left[x] // k for x, k in filling)
-            more = waste + times * (capacity - sum(x * k for x, k in filling))
-            if more > most_waste():
-                times = 1
-                more = waste + capacity - sum(x * k for x, k in filling)
-                if more > most_waste():
-                    continue
-            after = dict(left)
-            for x, k in filling:
-                after[x] -= k * times
-                if not after[x]:
-                    del after[x]
-            branch(after, [*chosen, (filling, times)], used + times, more)
-
-    import sys
-
-    depth = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(depth, nodes * 2 + 20_000))
-    try:
-        branch(counts, [], 0, 0)
-    finally:
-        sys.setrecursionlimit(depth)
+    best, target, total = best_fit(counts, capacity), lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
+    # depth first; a node: what is left, what was chosen (a linked list), sequences used, waste, and the fillings to try
+    stack = [(counts, None, 0, 0, iter(fillings(counts, capacity)))]
+    while stack and size(best) > target and nodes > 0:
+        left, chosen, used, waste, options = stack[-1]
+        filling = next(options, None)
+        if filling is None:
+            stack.pop()
+            continue
+        nodes -= 1
+        most = (size(best) - 1) * capacity - total  # more waste than that can't lead to fewer sequences
+        loss = capacity - sum(x * k for x, k in filling)
+        times = min(left[x] // k for x, k in filling)
+        if loss:
+            times = min(times, (most - waste) // loss)
+        if times <= 0:
+            continue
+        after = dict(left)
+        for x, k in filling:
+            after[x] -= k * times
+            if not after[x]:
+                del after[x]
+        own = (chosen, (filling, times))
+        if not after or nodes % INCUMBENT_EVERY == 0:
+            rest = best_fit(after, capacity)
+            if used + times + size(rest) < size(best):
+                best = _listed(own) + rest
+        if after:
+            stack.append((after, own, used + times, waste + loss * times, iter(fillings(after, capacity))))
     return best
 
 
+def _listed(chosen: tuple | None) -> Solution:
+    out = []
+    while chosen is not None:
+        chosen, last = chosen
+        out.append(last)
+    return out[::-1]
+
+
 def places(solution: Solution) -> dict[int, np.ndarray]:
     """For each length rows (first rank, first sequence, how many in a sequence, offset of the first)."""
     found: dict[int, list[tuple[int, int, int, int]]] = {}

@@ -58,11 +58,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of the files at ``path``; ``start`` counts the ids of all documents before."""
-    rows = spark.read.orc(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each file
+    """(doc_id, part, before, n_tokens, ids) of the files at ``path``."""
+    return spark.read.orc(path)
+
+
+def with_start(rows: DataFrame, path: str) -> DataFrame:
+    """``start``, which counts the ids of all documents before, in place of ``part`` and ``before``."""
+    totals = rows.sparkSession.read.orc(path).groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each file
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids")
+    return rows.join(base, "part").withColumn("start", F.col("base") + F.col("before")).drop("part", "before", "base")
 
 
 def with_checksum(rows: DataFrame) -> DataFrame:
@@ -85,4 +89,4 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = common.work_path(spark, "token-ids")
     write_ids(common.table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return with_checksum(read_ids(spark, path))
+    return with_start(with_checksum(read_ids(spark, path)), path).select("doc_id", "start", "n_tokens", "ids_crc32")
