@@ -12,9 +12,9 @@
         tables:
           Product: {path: products.parquet, format: parquet, columns: {id: product_id}}
         lists:
-          Product.reviews: {on: {id: product_id}, order_by: [review_id]}
+          Product.reviews: {by: {id: product_id}, order_by: [review_id]}
         references:
-          Review.product: {on: {id: product_id}, provides: {name: product_name}}
+          Review.product: {by: {id: product_id}, provides: {name: product_name}}
         roots:
           product: {filters: {id: product_id}}
 """
@@ -48,7 +48,7 @@ services:
       Review: {path: reviews.parquet, columns: {id: review_id}}
       Product: {path: products.parquet, columns: {id: product_id}}
     lists:
-      Product.reviews: {on: {id: product_id}, order_by: [review_id]}
+      Product.reviews: {by: {id: product_id}, order_by: [review_id]}
 """
 UNITS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0}
 
@@ -90,9 +90,9 @@ def _binding(spark: SparkSession, base: Path, service: dict[str, Any]) -> Source
         types[type_name].fields[field] = bound
 
     for where, spec in service.get("lists", {}).items():
-        bind(where, Many(spec["on"], spec.get("order_by", []), spec.get("filters", {})))
+        bind(where, Many(spec["by"], spec.get("order_by", []), spec.get("filters", {})))
     for where, spec in service.get("references", {}).items():
-        bind(where, Ref(spec["on"], spec.get("provides", {})))
+        bind(where, Ref(spec["by"], spec.get("provides", {})))
     roots = {name: Root(spec.get("filters", {}), order_by=spec.get("order_by", [])) for name, spec in service.get("roots", {}).items()}
     return SourceBinding(types, roots)
 
