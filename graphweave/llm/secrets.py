@@ -35,6 +35,9 @@ VALUE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Shortest run that the models judge, and the ratio needed in all and per character (nats).
 RUN, LEAST_RATIO, LEAST_PER_CHAR = 16, 14.0, 0.75
+BACK_OFF = 8.0
+#: Words of letters or numbers with signs between them: what may stand for ordinary identifiers.
+ORDINARY = re.compile(rb"[+/_.=-]*(?:(?:[A-Z]?[a-z]{3,}(?:[A-Z][a-z]{3,})*|[a-z]+|[A-Z]+|[0-9]+)(?:[+/_.=-]+|\Z))+")
 #: Bound on the documents that ordinary and random samples are taken from.
 SAMPLE_DOCS = 20_000
 GENERATED = 2_000
@@ -86,12 +89,14 @@ class MarkovPair:
 
     @staticmethod
     def _log(values: list[str]) -> np.ndarray:
+        """Bigrams backed off to single characters, those to all characters alike."""
         n = len(VALUE) + 1
-        counts = np.full((n, n), 0.25)
+        counts = np.zeros((n, n))
         for value in values:
             codes = SYMBOLS[np.frombuffer(value.encode("utf-8", "surrogatepass"), np.uint8)]
             np.add.at(counts, (np.concatenate(([n - 1], codes[:-1])), codes), 1)
-        return np.log(counts / counts.sum(axis=1, keepdims=True))
+        single = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * n)
+        return np.log((counts + BACK_OFF * single) / (counts.sum(axis=1, keepdims=True) + BACK_OFF))
 
     def score(self, value: bytes) -> float:
         codes = SYMBOLS[np.frombuffer(value, np.uint8)].astype(np.int64)
@@ -142,7 +147,8 @@ def labelled_samples(docs: DataFrame, text: str = "text", key: str = "doc_id", r
                     got.append((value[:256], 1))
                 data = text_.encode("utf-8", "surrogatepass")
                 found = [data[a:b] for a, b in runs(data, VALUE, RUN // 2)]
-                free = [v for v in found[:50] if not any(text_[s:e].encode("utf-8", "surrogatepass") in v or v in text_[s:e].encode("utf-8", "surrogatepass") for s, _, e in spans)]
+                taken = [text_[s:e].encode("utf-8", "surrogatepass") for s, _, e in spans]
+                free = [v for v in found[:50] if ORDINARY.fullmatch(v) and not any(x in v or v in x for x in taken)]
                 if free:
                     got.append((max(free, key=len).decode("ascii")[:256], 0))
             yield pd.DataFrame(got, columns=["value", "label"])
