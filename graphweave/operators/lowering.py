@@ -12,7 +12,7 @@ and error rows; the other sources' fields stay.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +24,7 @@ from graphweave.functions.columns import equals, null, spark_type
 from graphweave.plans.analyze import TYPENAME, Node
 from graphweave.plans.catalog import SuperGraph
 from graphweave.plans.planner import Join, ObjectPlan, RootPlan
-from graphweave.sources.binding import Compute, Many, One, Ref, Root, SourceBinding, TypeBinding
+from graphweave.sources.binding import Compute, Lookup, Many, Nested, One, Ref, Root, SourceBinding, TypeBinding
 from graphweave.sources.pin import pin
 
 FLAT, NESTED = "flat", "nested"
@@ -164,6 +164,17 @@ def flat_name(path: tuple[str, ...]) -> str:
     return "__".join(path)
 
 
+def _narrower(narrowed: Callable[[Column, Node], Column], of: Node) -> Callable[[Column], Column]:
+    return lambda x: narrowed(x, of)
+
+
+def looked_up(own: Lookup, df: DataFrame, keys: dict[str, Column], fields: list[str]) -> DataFrame:
+    """Rows of a source that finds objects by key: each key is asked for once."""
+    asked = df.select(*[c.alias(k) for k, c in keys.items()]).na.drop().distinct()
+    columns = [b.column if isinstance(b := own.of(f), Nested) else f for f in fields]
+    return own.look_up(asked, [c for c in dict.fromkeys(columns) if c not in keys])
+
+
 class ObjectBuilder:
     """One object type at one place of the tree."""
 
@@ -218,6 +229,8 @@ class ObjectBuilder:
                 for item in own.requires.get((source, field), ()):
                     if not isinstance(self.bound(own.where[item], item), Compute):
                         plain(own.where[item], item)
+            elif isinstance(bound, Nested):
+                demand[source][self.name(source, field)] = F.col(bound.column)
             else:
                 plain(source, field)
 
@@ -280,7 +293,11 @@ class ObjectBuilder:
         keys = {f"{self.prefix}_{join.source}_k_{k}": k for k in join.keys}
 
         def rows() -> DataFrame:
-            table = self.low.bindings[join.source].type(self.own.type).frame()
+            own = self.low.bindings[join.source].type(self.own.type)
+            if isinstance(own, Lookup):
+                table = looked_up(own, df, {k: F.col(f"`{self.name(join.via, k)}`") for k in join.keys}, [n.name for n in join.nodes] + join.hidden)
+            else:
+                table = own.frame()
             return table.select(*[self.column(join.source, k).alias(a) for a, k in keys.items()], *[c.alias(a) for a, c in demand.items()])
 
         try:
@@ -343,6 +360,8 @@ class ObjectBuilder:
                 return self._reference(df, source, node, bound, plan)
             if isinstance(bound, (Many, One)):
                 return self._rows_below(df, source, node, bound, plan)
+            if isinstance(bound, Nested):
+                return self._nested(df, source, node, plan)
         except StepFailed as failure:
             join = self.own.join(source)
             if failure.source == source:
@@ -364,8 +383,12 @@ class ObjectBuilder:
         built = None
         if plan.base is not None:
             need = {f"_{node.id}_to_{k}": self._of(plan, k) for k in plan.stub_keys}
+            far, start = self.low.bindings[plan.base].types.get(plan.type), None
             try:
-                built = self.low.build(node, plan, need)
+                if isinstance(far, Lookup):
+                    wanted = [n.name for n in plan.local] + plan.hidden + [k for j in plan.joins for k in j.keys]
+                    start = self.low._attempt(plan.base, lambda: looked_up(far, df, {k: at(k) for k in plan.stub_keys}, wanted))
+                built = self.low.build(node, plan, need, start)
             except StepFailed as failure:
                 keys = [k for k in plan.stub_keys if k not in KEPT_KEYS] if self.low.key_nulling else []
                 rest = [n for n in children if n.id not in stub]
@@ -405,6 +428,51 @@ class ObjectBuilder:
         self.outputs[node.id] = out
         return df
 
+    def _nested(self, df: DataFrame, source: str, node: Node, plan: ObjectPlan) -> DataFrame:
+        """Objects within a column: narrowed in place, or one row each in flat shape."""
+        if plan.joins:
+            raise GraphError(f"{node.parent_type}.{node.name} arrives nested and can't be joined; explode it in the binding", node.path)
+        column = F.col(f"`{self.name(source, node.name)}`")
+
+        def narrowed(item: Column, of: Node) -> Column:
+            fields = []
+            for n in of.children:
+                if n.name == TYPENAME:
+                    fields.append(F.lit(of.type).alias(n.key))
+                elif n.is_object:
+                    inner = F.transform(item[n.name], _narrower(narrowed, n)) if n.is_list else F.when(item[n.name].isNotNull(), narrowed(item[n.name], n))
+                    fields.append(inner.alias(n.key))
+                else:
+                    fields.append(item[n.name].alias(n.key))
+            return F.struct(*fields)
+
+        alias = f"{self.prefix}_{node.key}_nested"
+        value = F.transform(column, lambda x: narrowed(x, node)) if node.is_list else F.when(column.isNotNull(), narrowed(column, node))
+        df = df.withColumn(alias, value)
+        if self.low.shape == NESTED:
+            self.outputs[node.id] = [(node.path, alias)]
+            return df
+        out: list[tuple[tuple[str, ...], str]] = []
+
+        def flattened(df: DataFrame, of: Node, name: str) -> DataFrame:
+            if of.is_list:
+                if self.fans:
+                    raise GraphError("two lists side by side multiply each other in flat shape; ask for the nested shape", of.path)
+                self.fans = True
+                df = df.withColumn(name, F.explode_outer(F.col(f"`{name}`")))
+            for n in of.children:
+                leaf = f"{self.prefix}_{flat_name(n.path)}_leaf"
+                df = df.withColumn(leaf, F.col(f"`{name}`")[n.key])
+                if n.is_object:
+                    df = flattened(df, n, leaf)
+                else:
+                    out.append((n.path, leaf))
+            return df
+
+        df = flattened(df, node, alias)
+        self.outputs[node.id] = out
+        return df
+
     def _of(self, plan: ObjectPlan, field: str) -> Column:
         bound = self.low.bindings[plan.base].type(plan.type).of(field)
         return F.col(bound) if isinstance(bound, str) else bound

@@ -45,7 +45,14 @@ class Compute:
     own: Sequence[str] = ()
 
 
-Binding = str | Column | Ref | Many | One | Compute
+@dataclass(frozen=True)
+class Nested:
+    """An object or a list of objects that arrives nested in a column, with fields of the schema's names; scalars and such columns only."""
+
+    column: str
+
+
+Binding = str | Column | Ref | Many | One | Compute | Nested
 
 
 @dataclass
@@ -62,6 +69,21 @@ class TypeBinding:
         return self.fields.get(name, name)
 
 
+@dataclass
+class Lookup:
+    """A type without a table: ``look_up`` gets distinct keys (columns named by key fields) and the fields that are
+    wanted, and returns rows of keys and fields. Its objects can't be listed, only found."""
+
+    look_up: Callable[[DataFrame, Sequence[str]], DataFrame]
+    fields: dict[str, Binding] = field(default_factory=dict)
+
+    def of(self, name: str) -> Binding:
+        return self.fields.get(name, name)
+
+    def frame(self) -> DataFrame:
+        raise GraphError("objects of this source can only be found by key")
+
+
 @dataclass(frozen=True)
 class Root:
     """A root field: the rows of its type where columns equal arguments, or what ``rows`` gives for the arguments."""
@@ -75,10 +97,10 @@ class Root:
 class SourceBinding:
     """A source: its types, its root fields (for abstract types one ``Root`` per member), and whether it can be reached."""
 
-    types: dict[str, TypeBinding]
+    types: dict[str, TypeBinding | Lookup]
     roots: dict[str, Root | dict[str, Root]] = field(default_factory=dict)
 
-    def type(self, name: str) -> TypeBinding:
+    def type(self, name: str) -> TypeBinding | Lookup:
         if name not in self.types:
             raise GraphError(f"no rows are bound for {name}")
         return self.types[name]
