@@ -17,7 +17,7 @@ from graphweave.llm.topk import op10_exact_top_k
 #: Queries by inner product: all pairs of the query set and the table are scored, in exact integers.
 TOP_K_SQL = """
 with v as (select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as q from embeddings
-           where embedding is not null and vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+           where embedding is not null and vec_id is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 scored as (select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.q::double[], b.q::double[]) as bigint) as score
            from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
 ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from scored)
