@@ -202,7 +202,14 @@ def bindings(table: Callable[[str], DataFrame], sink: str | None = None) -> dict
 
 def build(spark: SparkSession, sf_dir: str, down: Iterable[str] = (), sink: str | None = None, **options: Any) -> Gateway:
     """A gateway over the tables at ``sf_dir``; the sources ``down`` can't be reached."""
-    own = bindings(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), sink)
+    frames: dict[str, DataFrame] = {}
+
+    def table(name: str) -> DataFrame:
+        if name not in frames:  # each table's schema is read once
+            frames[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return frames[name]
+
+    own = bindings(table, sink)
     own |= {name: Unreachable(own[name]) for name in down}
     return Gateway(spark, {name: (LINK + sdl, own[name]) for name, sdl in SCHEMAS.items()}, **options)
 
