@@ -67,7 +67,7 @@ class QualityModel:
     levels: np.ndarray
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return fourier((stats - self.mean) / self.scale, self.directions, self.phase) @ self.weights
+        return fourier(standard(stats, self.mean, self.scale), self.directions, self.phase) @ self.weights
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         """Calibrated, and still rising with the raw score within a level."""
@@ -76,9 +76,14 @@ class QualityModel:
         return np.clip(0.98 * steps + 0.02 / (1 + np.exp(-4 * (raw - 0.5))), 0.0, 1.0)
 
 
-def fourier(standard: np.ndarray, directions: np.ndarray, phase: np.ndarray) -> np.ndarray:
-    waves = np.cos(standard @ directions + phase) * np.sqrt(2 / directions.shape[1])
-    return np.hstack([waves, standard, np.ones((len(standard), 1))])
+def standard(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Within a few deviations, so that no text is far from all that were learned from."""
+    return np.clip((stats - mean) / scale, -5.0, 5.0)
+
+
+def fourier(x: np.ndarray, directions: np.ndarray, phase: np.ndarray) -> np.ndarray:
+    waves = np.cos(x @ directions + phase) * np.sqrt(2 / directions.shape[1])
+    return np.hstack([waves, x, np.ones((len(x), 1))])
 
 
 def pooled(scores: np.ndarray, weight: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         total = np.zeros((dim, dim + 1))
         for batch in batches:
             if len(batch):
-                z = fourier((np.vstack(batch["stats"]) - mean) / scale, directions, phase)
+                z = fourier(standard(np.vstack(batch["stats"]), mean, scale), directions, phase)
                 total += z.T @ np.column_stack([z, batch["y"].to_numpy()])
         for k in range(0, dim, 64):
             yield pd.DataFrame({"part": [k], "sums": [total[k : k + 64].tobytes()]})

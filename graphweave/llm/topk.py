@@ -12,7 +12,8 @@ Queries and index are joined block by block, a block of queries with a block of
 
 Defined results: vectors that are null or hold null or non-finite components take no part; ids
 that are null neither; a query never meets its own row, that is any row with its id; repeated rows
-of other ids all count; ranks are by score, then id; fewer candidates than k give fewer rows.
+of other ids all count; ranks are by score, then id; fewer candidates than k give fewer rows. Scaled
+components and scores are meant to fit 64 bits; a component beyond that ends the query with an error.
 """
 
 from __future__ import annotations
@@ -35,25 +36,38 @@ EMPTY = np.uint64(0)
 class SlicedBlock:
     """Bitmaps of a block's components: ``slices[d]`` lists those of component d, least bit first."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
+    def __init__(self, ids: np.ndarray, low: np.ndarray, bits: np.ndarray, planes: np.ndarray):
+        self.ids, self.low, self.bits, self.planes = ids, low, bits, planes
+        self.present = self._bitmap(np.ones(len(ids), np.uint8))
+        every = planes.reshape(-1, len(self.present))
+        limits = np.concatenate(([0], np.cumsum(bits)))
+        self.slices = [list(every[a:b]) for a, b in zip(limits[:-1], limits[1:])]
+        self.complements = [[~x & self.present for x in own] for own in self.slices]
+
+    @staticmethod
+    def _bitmap(flags: np.ndarray) -> np.ndarray:
+        padded = np.zeros(-(-len(flags) // 64) * 64, np.uint8)
+        padded[: len(flags)] = flags
+        return np.packbits(padded, bitorder="little").view(np.uint64)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, values: np.ndarray) -> SlicedBlock:
         order = np.argsort(ids, kind="stable")
-        self.ids, values = ids[order], values[order]
-        self.rows, self.low = len(ids), values.min(axis=0)
-        shifted = (values - self.low).astype(np.uint64)
-        self.top = shifted.max(axis=0).astype(np.int64)
-        words = -(-self.rows // 64)
-        self.present = np.zeros(words * 64, np.uint8)
-        self.present[: self.rows] = 1
-        self.present = np.packbits(self.present, bitorder="little").view(np.uint64)
-        self.slices, self.complements = [], []
-        for d in range(values.shape[1]):
-            bits = []
-            for b in range(int(self.top[d]).bit_length()):
-                plane = np.zeros(words * 64, np.uint8)
-                plane[: self.rows] = (shifted[:, d] >> np.uint64(b)) & np.uint64(1)
-                bits.append(np.packbits(plane, bitorder="little").view(np.uint64))
-            self.slices.append(bits)
-            self.complements.append([~x & self.present for x in bits])
+        ids, values = ids[order], values[order]
+        low = values.min(axis=0)
+        shifted = (values - low).astype(np.uint64)
+        bits = np.array([int(x).bit_length() for x in shifted.max(axis=0)], np.int64)
+        planes = [cls._bitmap(((shifted[:, d] >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)) for d in range(values.shape[1]) for b in range(bits[d])]
+        return cls(ids, low, bits, np.concatenate(planes) if planes else np.zeros(0, np.uint64))
+
+    PARTS = (("ids", np.int64), ("low", np.int64), ("bits", np.int64), ("planes", np.uint64))
+
+    def dump(self) -> dict[str, bytes]:
+        return {name: getattr(self, name).astype(kind).tobytes() for name, kind in self.PARTS}
+
+    @classmethod
+    def load(cls, row) -> SlicedBlock:
+        return cls(*[np.frombuffer(getattr(row, name), kind) for name, kind in cls.PARTS])
 
     def score_slices(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of the scores less a constant, least bit first, and the constant."""
@@ -137,40 +151,55 @@ def quantised(vectors: DataFrame, scale: int = SCALE, vector: str = "embedding",
     return rows.select("id", F.expr(f"transform(v, x -> cast(floor({scale} * x) as bigint))").alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """One row for each block of about ``size`` rows: (name, ids, data), dealt by a hash of the id."""
+def _dealt(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """Rows with the number of their block, of about ``size`` rows each, by a hash of the id; and how many there are."""
     number = max(1, -(-rows.count() // size))
+    return rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(number)).cast("int")), number
+
+
+def _matrix(group: pd.DataFrame) -> np.ndarray:
+    return np.array(group["v"].tolist(), np.int64)
+
+
+def sliced_index(rows: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+    """The index: a row for each block, with its ids and slices."""
+    schema = "block int, " + ", ".join(f"{name} binary" for name, _ in SlicedBlock.PARTS)
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        parts = SlicedBlock.of(group["id"].to_numpy(np.int64), _matrix(group)).dump()
+        return pd.DataFrame({"block": [int(group["block"].iloc[0])]} | {name: [data] for name, data in parts.items()})
+
+    return common.materialize(_dealt(rows, size, "block")[0].groupBy("block").applyInPandas(build, schema), "sliced-index")
+
 
+def _asked(queries: DataFrame, size: int) -> tuple[DataFrame, int]:
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        data = np.array(group["v"].tolist(), np.int64)
-        return pd.DataFrame({name: [int(group[name].iloc[0])], f"{name}_ids": [group["id"].to_numpy(np.int64).tobytes()], f"{name}_data": [data.tobytes()]})
+        return pd.DataFrame({"asked": [int(group["asked"].iloc[0])], "asked_ids": [group["id"].to_numpy(np.int64).tobytes()], "asked_data": [_matrix(group).tobytes()]})
 
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(number)).cast("int"))
-    return dealt.groupBy(name).applyInPandas(build, f"{name} int, {name}_ids binary, {name}_data binary"), number
+    dealt, number = _dealt(queries, size, "asked")
+    return dealt.groupBy("asked").applyInPandas(build, "asked int, asked_ids binary, asked_data binary"), number
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` best rows for each query; both inputs (id, v) of one width."""
     spark = rows.sparkSession
     common.ship(spark)
-    index, _ = _blocks(rows, block_rows, "block")
-    asked, groups = _blocks(queries, block_queries, "asked")
-    index = common.materialize(index, "index-blocks").withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked, groups = _asked(queries, block_queries)
+    index = sliced_index(rows, block_rows).withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     met = index.join(asked, "asked").repartition(max(1, groups), "asked", "block")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[int, SlicedBlock] | None = None
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids = np.frombuffer(row.block_ids, np.int64)
                 if held is None or held[0] != row.block:
-                    held = row.block, SlicedBlock(ids, np.frombuffer(row.block_data, np.int64).reshape(len(ids), -1))
+                    held = row.block, SlicedBlock.load(row)
                 query_ids = np.frombuffer(row.asked_ids, np.int64)
-                found = [(q, *held[1].best(int(q), v, k)) for q, v in zip(query_ids, np.frombuffer(row.asked_data, np.int64).reshape(len(query_ids), -1))]
+                queries_ = np.frombuffer(row.asked_data, np.int64).reshape(len(query_ids), -1)
+                found = [(q, *held[1].best(int(q), v, k)) for q, v in zip(query_ids, queries_)]
                 yield pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
-    best = met.select("block", "block_ids", "block_data", "asked_ids", "asked_data").mapInPandas(search, "query_id bigint, vec_id bigint, score bigint")
+    best = met.drop("asked").mapInPandas(search, "query_id bigint, vec_id bigint, score bigint")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
