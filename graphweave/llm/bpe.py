@@ -135,7 +135,7 @@ class Memo:
                     own = [_keys(t) if t else [] for t in block[a:b]]
                     keys, limits = pa.array([k for x in own for k in x], pa.large_string()), np.concatenate(([0], np.cumsum([len(x) for x in own])))
                 coded = keys.dictionary_encode()
-                which = self._known(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+                which = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
                 self._met[which] = np.minimum(self._met[which], 1) + 1
                 count = self._count[which]
                 parts.append(self._ids[common.ranges(self._start[which], count)])
