@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +40,9 @@ from graphweave.llm.components import components
 from graphweave.llm.shingles import identity, mix, shingle_sets
 
 COUNTER_BITS, COUNTER_BLOCK = 20, 1 << 14
-FILTER_BITS = 23
-PARITY_WORDS = 8
+FILTER_BITS = 24
+#: Words of 64 bits in the parity bitmap of every set, and in the one that large sets have besides.
+PARITY_WORDS, WIDE_WORDS, WIDE_FROM = 8, 128, 1000
 SINGLES_BELOW, PER_CLASS = 16, 64
 
 
@@ -103,10 +105,28 @@ class Signatures:
                 yield from zip(pairs.tolist(), (len(rare) + second - 1).tolist())
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
-    """For each of ``64 * PARITY_WORDS`` buckets whether an odd number of tokens falls there."""
-    buckets = (mix(tokens) % np.uint64(64 * PARITY_WORDS)).astype(np.int64)
-    return np.packbits((np.bincount(buckets, minlength=64 * PARITY_WORDS) & 1).astype(np.uint8)).view(np.int64)
+def parity(tokens: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """For each of ``64 * words`` buckets whether an odd number of tokens falls there."""
+    buckets = (mix(tokens) % np.uint64(64 * words)).astype(np.int64)
+    return np.packbits((np.bincount(buckets, minlength=64 * words) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.astype(np.int64).view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """A table of ``2**FILTER_BITS`` flags, set where one of the ``keys`` (one bigint column, no nulls) falls."""
+
+    def flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            own[_places(batch["key"].to_numpy())] = True
+        yield pd.DataFrame({"part": [0], "bits": [np.packbits(own).tobytes()]})
+
+    with common.batches_of(keys.sparkSession, 50_000):
+        got = keys.toDF("key").mapInPandas(flags, "part int, bits binary").groupBy("part").applyInPandas(_or_bits, "part int, bits binary").collect()
+    return np.unpackbits(np.frombuffer(bytes(got[0]["bits"]), np.uint8)).astype(bool) if got else np.zeros(1 << FILTER_BITS, bool)
 
 
 def _sum_blocks(group: pd.DataFrame) -> pd.DataFrame:
@@ -136,24 +156,26 @@ class JaccardJoin:
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counters = np.zeros(1 << COUNTER_BITS, np.int64)
             for batch in batches:
-                n, one, two, bits = [], [], [], []
+                n, one, two, bits, wide = [], [], [], [], []
                 for found in shingle_sets(common.texts_of(batch["text"]), width):
                     np.add.at(counters, (found & np.uint64(len(counters) - 1)).astype(np.int64), 1)
                     a, b = identity(found)
                     n.append(len(found)), one.append(a), two.append(b), bits.append(parity(found))
+                    wide.append(parity(found, WIDE_WORDS) if len(found) >= WIDE_FROM else None)
                 planes = np.array(bits, np.int64).reshape(-1, PARITY_WORDS).T
                 columns = [batch["doc_id"].astype("Int64"), *[pd.array(x, "Int64") for x in (n, one, two, *planes)]]
-                yield pd.DataFrame(dict(zip(longs, columns)) | {"block": None, "counts": None})
+                yield pd.DataFrame(dict(zip(longs, columns)) | {"wide": pd.Series(wide, dtype=object), "block": None, "counts": None})
             for k in range(0, len(counters), COUNTER_BLOCK):
                 part = counters[k : k + COUNTER_BLOCK]
                 if part.any():
-                    yield pd.DataFrame({c: pd.array([None], "Int64") for c in longs} | {"block": [k], "counts": [part.tobytes()]})
+                    yield pd.DataFrame({c: pd.array([None], "Int64") for c in longs} | {"wide": [None], "block": [k], "counts": [part.tobytes()]})
 
-        both = common.materialize(self.docs.mapInPandas(measure, ", ".join(f"{c} bigint" for c in longs) + ", block int, counts binary"), "sets")
+        both = common.materialize(self.docs.mapInPandas(measure, ", ".join(f"{c} bigint" for c in longs) + ", wide array<bigint>, block int, counts binary"), "sets")
         self.sets = both.where("block is null").select("doc_id", "n", "a", "b")
-        filled = both.where("n > 0")
-        self.classes = filled.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
-        self.planes = filled.groupBy("a", "b", "n").agg(*[F.min(c).alias(c) for c in words])
+        classes = both.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in words])
+        self.planes = common.materialize(classes, "classes")
+        self.classes = self.planes.select("a", "b", "n", "rep")
+        self.wide = common.materialize(both.where("wide is not null").groupBy("a").agg(F.first("wide").alias("wide")), "wide")
         self.counters = np.zeros(1 << COUNTER_BITS, np.int64)
         blocks = both.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_sum_blocks, "block int, counts binary")
         for row in blocks.collect():  # as many counters as COUNTER_BITS says
@@ -180,6 +202,17 @@ class JaccardJoin:
 
         return self.docs.select("text").mapInPandas(index, "sig bigint, node bigint, n int, miss int")
 
+    def _only(self, index: DataFrame, several: DataFrame) -> DataFrame:
+        """The entries whose ``sig`` may be in ``several``; few of the others pass the filter, and none of those is lost."""
+        wanted = self.spark.sparkContext.broadcast(bit_filter(several.select("sig")))
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(wanted.value[_places(batch.column("sig").to_numpy())]))
+
+        narrow = index.select("sig", "node", "n", "miss", "place")
+        return narrow.mapInArrow(keep, narrow.schema)
+
     def _may_link(self, x: str, y: str) -> Column:
         """Sizes and missed tokens leave room for the similarity."""
         return F.expr(
@@ -192,29 +225,25 @@ class JaccardJoin:
         sides = [self.planes.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"), F.array(*[f"p{k}" for k in range(PARITY_WORDS)]).alias(f"p_{c}")) for c in "xy"]
         differ = " + ".join(f"bit_count(p_x[{k}] ^ p_y[{k}])" for k in range(PARITY_WORDS))
         # shared tokens are at most (n_x + n_y - differ) / 2
-        kept = pairs.join(sides[0], "x").join(sides[1], "y").where(f"(n_x + n_y - ({differ})) * {self.num + self.den} >= 2 * (n_x + n_y) * {self.num}")
-        return kept.select("x", "y").distinct()
+        room = lambda d: f"(n_x + n_y - ({d})) * {self.num + self.den} >= 2 * (n_x + n_y) * {self.num}"
+        kept = common.materialize(pairs.join(sides[0], "x").join(sides[1], "y").where(room(differ)).select("x", "y", "n_x", "n_y").distinct(), "near")
+        for c in "xy":
+            kept = kept.join(self.wide.select(F.col("a").alias(c), F.col("wide").alias(f"wide_{c}")), c, "left")
+        differ = "aggregate(zip_with(wide_x, wide_y, (p, q) -> bit_count(p ^ q)), 0, (t, p) -> t + p)"
+        return kept.where(f"wide_x is null or wide_y is null or {room(differ)}").select("x", "y").distinct()
 
     def _sets_of(self, nodes: DataFrame) -> DataFrame:
         """(a, b, tokens) of the classes whose node is in ``nodes``, and a few others: a filter of fixed size spares the rest the work."""
         width = self.width
 
-        def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = np.zeros(1 << FILTER_BITS, bool)
-            for batch in batches:
-                own[mix(batch["rep"].to_numpy(np.int64).view(np.uint64)) & np.uint64(len(own) - 1)] = True
-            yield pd.DataFrame({"part": [0], "bits": [np.packbits(own).tobytes()]})
-
         reps = self.classes.join(nodes, F.col("a") == F.col("node"), "left_semi").select("rep").where("rep is not null")
-        got = reps.mapInPandas(bits, "part int, bits binary").groupBy("part").applyInPandas(_or_bits, "part int, bits binary").collect()
-        wanted = self.spark.sparkContext.broadcast(np.unpackbits(np.frombuffer(bytes(got[0]["bits"]), np.uint8)).astype(bool) if got else np.zeros(1 << FILTER_BITS, bool))
+        wanted = self.spark.sparkContext.broadcast(bit_filter(reps))
 
         def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             done: set[tuple[int, int]] = set()
             for batch in batches:
                 batch = batch[batch["doc_id"].notna()]
-                ids = batch["doc_id"].to_numpy(np.int64)
-                batch = batch[wanted.value[mix(ids.view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)]]
+                batch = batch[wanted.value[_places(batch["doc_id"].to_numpy(np.int64))]]
                 rows = []
                 for found in shingle_sets(common.texts_of(batch["text"]), width):
                     own = identity(found)
@@ -243,16 +272,22 @@ class JaccardJoin:
         index = common.materialize(self.entries(), "index")
         # a member's place in its entry: fewest missed first, then by node; the first is the centre
         place = F.shiftleft(F.least("miss", F.lit(32767)).cast("bigint"), 48).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 48) - 1)))
-        index = index.withColumn("place", place)
-        several = index.groupBy("sig").agg(F.min("place").alias("centre"), F.max("place").alias("last")).where("centre < last").select("sig", "centre")
-        met = common.materialize(index.join(several, "sig").select("sig", "node", "n", "miss", (F.col("place") == F.col("centre")).alias("is_centre")).distinct(), "met")
+        index = index.withColumn("place", place).withColumn("bounds", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR((F.col("n") - F.col("miss")).cast("bigint")))
+        several = index.groupBy("sig").agg(F.min("place").alias("centre"), F.max("place").alias("last"), F.min("bounds").alias("low"), F.max("bounds").alias("high"), F.count("*").cast("int").alias("members")).where("centre < last")
+        # where just two met, their bounds are known here already
+        sizes, rest = ([F.shiftright(c, 32) for c in ("low", "high")], [F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("low", "high")])
+        may = (sizes[0] * self.den >= sizes[1] * self.num) & (F.least(*rest) * (self.num + self.den) >= (sizes[0] + sizes[1]) * self.num)
+        several = several.where((F.col("members") > 2) | may).select("sig", "centre", "members")
+        several = common.materialize(several, "several")
+        with common.batches_of(self.spark, 50_000):
+            met = common.materialize(self._only(index, several).join(several, "sig").select("sig", "node", "n", "miss", "members", (F.col("place") == F.col("centre")).alias("is_centre")).distinct(), "met")
         x, c = met.where("not is_centre").alias("x"), met.where("is_centre").alias("c")
         star = x.join(c, F.expr("x.sig = c.sig and x.node <> c.node") & self._may_link("x", "c"))
         links = self._verified(star.select(F.expr("least(x.node, c.node)").alias("x"), F.expr("greatest(x.node, c.node)").alias("y")).distinct())
         joined = components(links)
         # pairs within an entry that are still apart; a member that hangs together with the centre meets only those that don't
         labels = self.classes.join(joined, F.col("rep") == F.col("node")).select(F.col("a").alias("node"), F.col("component").alias("label")).distinct()
-        known = met.join(labels, "node", "left").withColumn("label", F.struct(F.col("label").isNull().alias("alone"), F.coalesce("label", "node").alias("id")))
+        known = met.where("members > 2").join(labels, "node", "left").withColumn("label", F.struct(F.col("label").isNull().alias("alone"), F.coalesce("label", "node").alias("id")))
         known = common.materialize(known.select("sig", "node", "n", "miss", "is_centre", F.col("label.alone").alias("alone"), F.col("label.id").alias("id")), "known")
         of_centre = known.where("is_centre").groupBy("sig").agg(F.min("alone").alias("c_alone"), F.min("id").alias("c_id"))
         apart = known.where("not is_centre").join(of_centre, "sig").where("alone <> c_alone or id <> c_id").drop("c_alone", "c_id")
