@@ -23,7 +23,7 @@ from graphweave.llm import common
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Bound on the chunks that an encoder remembers; when it is reached, those met once are forgotten.
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 #: Of ASCII, but for the apostrophe, which the patterns keep with some letters.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 Flat = tuple[np.ndarray, np.ndarray]  # ids one after another, and how many belong to each
@@ -150,16 +150,6 @@ def flat(lists: Sequence[Sequence[int]]) -> Flat:
     return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
 
 
-_kept: dict[tuple, object] = {}
-
-
-def once(build: Callable, *args):
-    """One object for each worker process."""
-    if (key := (build, *args)) not in _kept:
-        _kept[key] = build(*args)
-    return _kept[key]
-
-
 TOGETHER = 256
 
 

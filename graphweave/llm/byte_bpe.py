@@ -105,14 +105,14 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key:
     common.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.once(Encoder, ranks, pattern)
+        encoder = common.once(Encoder, ranks, pattern)
         for batch in batches:
             ids, counts = encoder.encode(common.texts_of(batch.column("text").to_pylist()))
             starts = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts), pa.array(ids))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
+    return rows.mapInArrow(common.tidied(run, keeps=True), "doc_id bigint, ids array<int>")
 
 
 def decoded(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -120,14 +120,14 @@ def decoded(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
     common.bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.once(Encoder, ranks, pattern)
+        encoder = common.once(Encoder, ranks, pattern)
         for batch in batches:
             lists = batch.column("ids").fill_null(pa.scalar([], batch.column("ids").type))
             counts = np.diff(lists.offsets.to_numpy())
             ids = lists.flatten().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(encoder.decode(ids, counts), pa.binary())], names=["doc_id", "ids", "bytes"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, bytes binary")
+    return rows.select("doc_id", "ids").mapInArrow(common.tidied(run, keeps=True), "doc_id bigint, ids array<int>, bytes binary")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,37 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def once(build: Callable, *args):
+    """One object for each worker process, until the worker turns to other work."""
+    if (key := (build, *args)) not in _kept:
+        _kept[key] = build(*args)
+    return _kept[key]
+
+
+def _give_back() -> None:
+    """Returns what Python and Arrow have freed to the system; workers live on and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries keep what they like
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInPandas`` or ``mapInArrow`` that leaves its worker small; ``keeps``: what ``once`` built stays."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        if not keeps:
+            _kept.clear()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidy
+
+
 def learns(doc_id: str = "doc_id") -> Column:
     """Rows that a model may learn from; the others are held out."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 != 0

@@ -129,7 +129,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
     schema = "lang string, block int, counts binary"
     counts = np.zeros((2**bits + 1, len(languages)))
-    for row in picked.select("text", "lang").mapInPandas(count, schema).groupBy("lang", "block").applyInPandas(add, schema).collect():
+    for row in picked.select("text", "lang").mapInPandas(common.tidied(count), schema).groupBy("lang", "block").applyInPandas(add, schema).collect():
         counts[row["block"] : row["block"] + min(BLOCK, 2**bits), languages.index(row["lang"])] = np.frombuffer(bytes(row["counts"]), np.int64)
     smooth = counts[:-1] + 0.5
     log_prob = np.zeros((2**bits + 1, len(languages)), np.float32)
@@ -153,7 +153,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
             names, scores = shared.value.predict(common.texts_of(batch["whole_text"]))
             yield batch.drop(columns="whole_text").assign(lang_pred=names, score=np.array(scores, float))
 
-    scored = inner.mapInPandas(run, out)
+    scored = inner.mapInPandas(common.tidied(run), out)
     return scored.select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(kept)], "lang_pred", "score")
 
 

@@ -116,7 +116,7 @@ def _places(keys: np.ndarray) -> np.ndarray:
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
-    """A table of ``2**FILTER_BITS`` flags, set where one of the ``keys`` (one bigint column, no nulls) falls."""
+    """A table of ``2**FILTER_BITS`` flags, eight to a byte, set where one of the ``keys`` (one bigint column, no nulls) falls."""
 
     def flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = np.zeros(1 << FILTER_BITS, bool)
@@ -125,8 +125,13 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"part": [0], "bits": [np.packbits(own).tobytes()]})
 
     with common.batches_of(keys.sparkSession, 50_000):
-        got = keys.toDF("key").mapInPandas(flags, "part int, bits binary").groupBy("part").applyInPandas(_or_bits, "part int, bits binary").collect()
-    return np.unpackbits(np.frombuffer(bytes(got[0]["bits"]), np.uint8)).astype(bool) if got else np.zeros(1 << FILTER_BITS, bool)
+        got = keys.toDF("key").mapInPandas(common.tidied(flags), "part int, bits binary").groupBy("part").applyInPandas(_or_bits, "part int, bits binary").collect()
+    return np.frombuffer(bytes(got[0]["bits"]), np.uint8) if got else np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+
+
+def flagged(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    places = _places(keys)
+    return (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
 
 
 def _sum_blocks(group: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +175,7 @@ class JaccardJoin:
                 if part.any():
                     yield pd.DataFrame({c: pd.array([None], "Int64") for c in longs} | {"wide": [None], "block": [k], "counts": [part.tobytes()]})
 
-        both = common.materialize(self.docs.mapInPandas(measure, ", ".join(f"{c} bigint" for c in longs) + ", wide array<bigint>, block int, counts binary"), "sets")
+        both = common.materialize(self.docs.mapInPandas(common.tidied(measure), ", ".join(f"{c} bigint" for c in longs) + ", wide array<bigint>, block int, counts binary"), "sets")
         self.sets = both.where("block is null").select("doc_id", "n", "a", "b")
         classes = both.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in words])
         self.planes = common.materialize(classes, "classes")
@@ -200,7 +205,7 @@ class JaccardJoin:
                 if sigs:
                     yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "miss": np.concatenate(misses)})
 
-        return self.docs.select("text").mapInPandas(index, "sig bigint, node bigint, n int, miss int")
+        return self.docs.select("text").mapInPandas(common.tidied(index), "sig bigint, node bigint, n int, miss int")
 
     def _only(self, index: DataFrame, several: DataFrame) -> DataFrame:
         """The entries whose ``sig`` may be in ``several``; few of the others pass the filter, and none of those is lost."""
@@ -208,10 +213,10 @@ class JaccardJoin:
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(wanted.value[_places(batch.column("sig").to_numpy())]))
+                yield batch.filter(pa.array(flagged(wanted.value, batch.column("sig").to_numpy())))
 
         narrow = index.select("sig", "node", "n", "miss", "place")
-        return narrow.mapInArrow(keep, narrow.schema)
+        return narrow.mapInArrow(common.tidied(keep), narrow.schema)
 
     def _may_link(self, x: str, y: str) -> Column:
         """Sizes and missed tokens leave room for the similarity."""
@@ -243,7 +248,7 @@ class JaccardJoin:
             done: set[tuple[int, int]] = set()
             for batch in batches:
                 batch = batch[batch["doc_id"].notna()]
-                batch = batch[wanted.value[_places(batch["doc_id"].to_numpy(np.int64))]]
+                batch = batch[flagged(wanted.value, batch["doc_id"].to_numpy(np.int64))]
                 rows = []
                 for found in shingle_sets(common.texts_of(batch["text"]), width):
                     own = identity(found)
@@ -252,7 +257,7 @@ class JaccardJoin:
                         rows.append((*own, found.view(np.int64)))
                 yield pd.DataFrame({"a": pd.array([r[0] for r in rows], "int64"), "b": pd.array([r[1] for r in rows], "int64"), "tokens": pd.Series([r[2] for r in rows], dtype=object)})
 
-        return common.materialize(self.docs.mapInPandas(tokens, "a bigint, b bigint, tokens array<bigint>"), "tokens")
+        return common.materialize(self.docs.mapInPandas(common.tidied(tokens), "a bigint, b bigint, tokens array<bigint>"), "tokens")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Links (u, v: representatives, u < v) among the pairs (x, y) of nodes."""

@@ -184,7 +184,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), bpe.once(bpe.library_encoder, tokenizer)
+        part, encoder = TaskContext.get().partitionId(), common.once(bpe.library_encoder, tokenizer)
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4")
         for batch in batches:
@@ -203,7 +203,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(encode, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint")
+    return rows.mapInArrow(common.tidied(encode, keeps=True), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint")
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -232,7 +232,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             yield batch.drop(columns="overall").assign(sequence_id=sequence, offset=offset)
 
     ranked = rest.join(earlier, ["part", "length"]).select(*out[:5], (F.col("rank") + F.col("earlier")).alias("overall"))
-    placed = ranked.mapInPandas(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    placed = ranked.mapInPandas(common.tidied(place), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
     return full.select(*out).unionAll(placed.select(*out))
 
 

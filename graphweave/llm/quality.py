@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         for batch in batches:
             yield pd.DataFrame({"key": batch["key"], "y": batch["y"], "stats": pd.Series(list(_stats_of(common.texts_of(batch["text"]))), dtype=object)})
 
-    seen = common.materialize(joined.mapInPandas(measure, "key bigint, y double, stats array<double>"), "quality-train")
+    seen = common.materialize(joined.mapInPandas(common.tidied(measure), "key bigint, y double, stats array<double>"), "quality-train")
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(2 * WIDTH + 1)
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         return group.iloc[:1].assign(sums=[sum(np.frombuffer(x) for x in group["sums"]).tobytes()])
 
     def summed(frame: DataFrame, function, width: int) -> np.ndarray:
-        parts = frame.mapInPandas(function, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").orderBy("part").collect()
+        parts = frame.mapInPandas(common.tidied(function), "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").orderBy("part").collect()
         return np.concatenate([np.frombuffer(bytes(r["sums"])) for r in parts]) if parts else np.zeros(width)
 
     sums = summed(seen, moments, 2 * WIDTH + 1)
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             raw = model.raw(np.vstack(batch["stats"])) if len(batch) else np.zeros(0)
             yield pd.DataFrame({"bin": np.clip(np.round(raw * BINS / 2), -BINS, 2 * BINS).astype(int), "y": batch["y"]})
 
-    rest = seen.where(~fitting).mapInPandas(binned, "bin int, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("p")).orderBy("bin").collect()
+    rest = seen.where(~fitting).mapInPandas(common.tidied(binned), "bin int, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("p")).orderBy("bin").collect()
     if rest:
         model.knots, model.levels = pooled(np.array([r["bin"] * 2 / BINS for r in rest]), np.array([r["n"] for r in rest], float), np.array([r["p"] for r in rest]))
     return model
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: QualityModel | None, text: str = "text", keep:
             stats = _stats_of(common.texts_of(batch["whole_text"]))
             yield batch.drop(columns="whole_text").assign(score=shared.value.score(stats) if shared.value else np.full(len(batch), 0.5))
 
-    scored = inner.mapInPandas(run, out)
+    scored = inner.mapInPandas(common.tidied(run), out)
     return scored.select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -153,7 +153,7 @@ def labelled_samples(docs: DataFrame, text: str = "text", key: str = "doc_id", r
                     got.append((max(free, key=len).decode("ascii")[:256], 0))
             yield pd.DataFrame(got, columns=["value", "label"])
 
-    found = sorted((r["value"], r["label"]) for r in picked.select("text").mapInPandas(pick, "value string, label int").collect())
+    found = sorted((r["value"], r["label"]) for r in picked.select("text").mapInPandas(common.tidied(pick), "value string, label int").collect())
     rng = random.Random(7)
     alphabets = [VALUE.decode()[:62], VALUE.decode()[:64], VALUE.decode()[26:62], VALUE.decode()[:26] + VALUE.decode()[52:62]]
     made = ["".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randint(16, 48))) for k in range(GENERATED)]
@@ -182,7 +182,7 @@ def scan(docs: DataFrame, models: MarkovPair, text: str = "text", keep: tuple[st
                 more["redacted"] = [_replaced(t, x, redact) for t, x in zip(batch["whole_text"], found)]
             yield batch.drop(columns="whole_text").assign(**more)
 
-    scanned = inner.mapInPandas(run, out)
+    scanned = inner.mapInPandas(common.tidied(run), out)
     return scanned.select(
         *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)],
         F.expr("transform(filter(split(spans, ','), x -> x != ''), x -> named_struct('kind', split(x, ':')[0], 'start', cast(split(x, ':')[1] as int), 'end', cast(split(x, ':')[2] as int)))").alias("spans"),

@@ -77,7 +77,7 @@ def token_counts(docs: DataFrame, ranks: str, pattern: str, sections: Callable[[
     common.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, lengths = bpe.once(bpe.rank_encoder, ranks, pattern), bpe.once(_lengths, ranks)
+        encoder, lengths = common.once(bpe.rank_encoder, ranks, pattern), common.once(_lengths, ranks)
         for batch in batches:
             texts = common.texts_of(batch.column("text").to_pylist())
             doc, section, begin, end, counted = [], [], [], [], [[], [], []]
@@ -96,7 +96,7 @@ def token_counts(docs: DataFrame, ranks: str, pattern: str, sections: Callable[[
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "section", "start", "end", "n_tokens", "n_started", "token_share"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, section int, start bigint, end bigint, n_tokens bigint, n_started bigint, token_share double")
+    return rows.mapInArrow(common.tidied(run, keeps=True), "doc_id bigint, section int, start bigint, end bigint, n_tokens bigint, n_started bigint, token_share double")
 
 
 def _lengths(ranks: str) -> np.ndarray:

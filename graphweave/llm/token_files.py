@@ -36,7 +36,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before, encoder = TaskContext.get().partitionId(), 0, bpe.once(bpe.library_encoder, tokenizer)
+        part, before, encoder = TaskContext.get().partitionId(), 0, common.once(bpe.library_encoder, tokenizer)
         for batch in batches:
             texts = common.texts_of(batch.column("text").to_pylist())
             ids, counts = encoder(texts)
@@ -52,7 +52,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             )
             before += len(whole)
 
-    rows = dealt.mapInArrow(encode, "doc_id bigint, part int, before bigint, n_tokens bigint, ids array<int>")
+    rows = dealt.mapInArrow(common.tidied(encode, keeps=True), "doc_id bigint, part int, before bigint, n_tokens bigint, ids array<int>")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": FALSE_POSITIVES, "orc.create.index": "true", "orc.row.index.stride": INDEX_STRIDE, "orc.stripe.size": STRIPE_BYTES, "orc.encoding.strategy": "COMPRESSION"}
     rows.write.options(**options).option("compression", "none").orc(path)
 
@@ -81,7 +81,7 @@ def with_checksum(rows: DataFrame) -> DataFrame:
             sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(limits, limits[1:])]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in others], pa.array(sums, pa.int64())], names=[*[f.name for f in others], "ids_crc32"])
 
-    return rows.mapInArrow(check, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others) + ", ids_crc32 bigint")
+    return rows.mapInArrow(common.tidied(check), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others) + ", ids_crc32 bigint")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

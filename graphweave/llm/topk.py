@@ -199,7 +199,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLO
                 found = [(q, *held[1].best(int(q), v, k)) for q, v in zip(query_ids, queries_)]
                 yield pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
-    best = met.drop("asked").mapInPandas(search, "query_id bigint, vec_id bigint, score bigint")
+    best = met.drop("asked").mapInPandas(common.tidied(search), "query_id bigint, vec_id bigint, score bigint")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
