@@ -1,4 +1,4 @@
-"""The graph over the star-schema, event and document tables: twelve sources and their bindings."""
+"""The graph over the star-schema, event and document tables: thirteen sources and their bindings."""
 
 from __future__ import annotations
 
