@@ -11,7 +11,9 @@ from __future__ import annotations
 import base64
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -49,11 +51,21 @@ def _chunk(key: str) -> str:
     return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
 
 
+@lru_cache(maxsize=4096)
+def _stays_letter(letter: str) -> bool:
+    """One letter still under NFC and lower case; others leave a mark at the end, which the patterns keep with punctuation."""
+    if letter.isascii():
+        return letter.isalpha()
+    normal = unicodedata.normalize("NFC", letter).lower()
+    return letter.isalpha() and len(normal) == 1 and normal.isalpha()
+
+
 class Memo:
     """Encodes texts by distinct chunks; ``encode`` gives the ids of a list of strings.
 
     A new chunk that ends with punctuation after a letter is put together from its word and its
-    punctuation, which no splitting pattern here keeps in one piece.
+    punctuation, which no splitting pattern here keeps in one piece, unless the vocabulary's
+    normalization takes the letter apart: such chunks are encoded whole.
     """
 
     def __init__(self, encode: Callable[[list[str]], Flat], remembered: int = REMEMBERED):
@@ -79,7 +91,7 @@ class Memo:
         whole, joined, parts = [], [], []
         for key in keys:
             word = key.rstrip(PUNCTUATION)
-            if len(word) < len(key) and word and word[-1].isalpha() and "<|" not in key:
+            if len(word) < len(key) and word and _stays_letter(word[-1]) and "<|" not in key:
                 joined.append(key)
                 parts += [word, "\0" + key[len(word) :]]
             else:

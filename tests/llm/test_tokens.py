@@ -37,6 +37,18 @@ def test_chunked_encoders_equal_the_libraries(batch):
     assert SP.decode(found, counts) == [t.encode() for t in batch]
 
 
+def test_every_letter_before_punctuation():
+    """Some letters become a letter and a mark under NFC or lower case, and the mark goes with the punctuation."""
+    batch = [f"a{c}{end}" for c in map(chr, range(0x110000)) if c.isalpha() for end in (".", ",&&")] + ["AL\u0130. AL\u0130 \u0130(", "\u0915\u0958. \u0958?"]
+    for name, encoder in ENCODERS.items():
+        wanted = [e.ids for e in LIBRARY[name].encode_batch_fast(batch, add_special_tokens=False)]
+        assert [t for t, x, w in zip(batch, bpe.splits(*encoder(batch)), wanted) if x.tolist() != w] == []
+    found, counts = SP.encode(batch)
+    assert [t for t, x in zip(batch, bpe.splits(found, counts)) if x.tolist() != TIKTOKEN.encode_ordinary(t)] == []
+    ranks = bpe.rank_encoder(RANKS, P.PATTERN)
+    assert [t for t, x in zip(batch, bpe.splits(*ranks(batch))) if x.tolist() != TIKTOKEN.encode_ordinary(t)] == []
+
+
 def test_memory_bound_changes_nothing():
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefg", k=rng.randint(1, 6))) for _ in range(300)]
