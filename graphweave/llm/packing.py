@@ -18,6 +18,7 @@ repeated ones too; pieces of one length are interchangeable; an empty table give
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -88,32 +89,84 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(counts: dict[int, int], capacity: int, most: int = FILLINGS) -> list[Filling]:
-    """Undominated fillings around the largest length, the fullest first."""
-    lengths = sorted(counts, reverse=True)
-    first, found, steps = lengths[0], [], [0]
-
-    def fill(at: int, room: int, held: list[int]) -> None:
-        steps[0] += 1
-        if steps[0] > STEPS or len(found) > 8 * most:
+def _maximal(lengths: list[int], free: list[int], room: int) -> Iterator[Filling | None]:
+    """What fills ``room`` so that no further piece fits, larger pieces first; None for each step on the way.
+
+    A step takes as many pieces of one length as fit, or one fewer than before, so a filling of a
+    thousand pieces of one length is as near as one of two.
+    """
+    below = [-x for x in lengths]
+    volume = [0] * (len(lengths) + 1)  # of the pieces from a length on
+    for k in range(len(lengths) - 1, -1, -1):
+        volume[k] = volume[k + 1] + lengths[k] * free[k]
+    taken = [0] * len(lengths)
+    path: list[int] = []
+    k = 0
+    while True:
+        # down: the next length that fits, until none does
+        while (k := bisect_left(below, -room, k)) < len(lengths):
+            if free[k]:
+                taken[k] = min(free[k], room // lengths[k])
+                room -= taken[k] * lengths[k]
+                path.append(k)
+                yield None
+            k += 1
+        if all(taken[j] == free[j] for j in range(len(lengths) - 1, bisect_left(below, -room) - 1, -1)):
+            yield tuple((lengths[j], taken[j]) for j in path)
+        # back: one piece fewer of the last length, if what follows can take so much of its room that it doesn't fit again
+        while path:
+            k = path[-1]
+            if volume[k + 1] > room:
+                break
+            room += taken[k] * lengths[k]
+            taken[k] = 0
+            path.pop()
+        if not path:
             return
-        extended = False
-        for k in range(at, len(lengths)):
-            length = lengths[k]
-            if length <= room and held.count(length) + (length == first) < counts[length]:
-                extended = True
-                fill(k, room - length, [*held, length])
-                if steps[0] > STEPS:
-                    break
-        if not extended:
-            found.append((room, held))
-
-    fill(0, capacity - first, [])
-    kept: list[tuple[int, list[int]]] = []
-    for room, held in sorted(found, key=lambda x: (x[0], len(x[1]), [-y for y in x[1]])):
-        if not any(len(other) == len(held) and all(a >= b for a, b in zip(other, held)) for _, other in kept):
-            kept.append((room, held))
-    return [tuple(sorted(Counter([first, *held]).items(), reverse=True)) for _, held in kept[:most]]
+        taken[k] -= 1
+        room += lengths[k]
+        if not taken[k]:
+            path.pop()
+        k += 1
+        yield None
+
+
+def fillings(counts: dict[int, int], capacity: int, most: int = FILLINGS) -> Iterator[Filling]:
+    """Undominated fillings around the largest length, the fullest first; nothing is looked for until the first is asked for."""
+    lengths = sorted(counts, reverse=True)
+    first, found, steps = lengths[0], [], 0
+    for filling in _maximal(lengths, [counts[x] - (x == first) for x in lengths], capacity - first):
+        if filling is None:
+            steps += 1
+        else:
+            found.append((capacity - first - sum(x * k for x, k in filling), sum(k for _, k in filling), filling))
+        if found and (steps > STEPS or len(found) > 8 * most):
+            break
+    kept: list[tuple[int, Filling]] = []
+    for _, pieces, filling in sorted(found, key=lambda x: (x[0], x[1], [(-y, -k) for y, k in x[2]])):
+        if not any(n == pieces and _covers(other, filling) for n, other in kept):
+            kept.append((pieces, filling))
+            own = Counter(dict(filling))
+            own[first] += 1
+            yield tuple(sorted(own.items(), reverse=True))
+            if len(kept) == most:
+                return
+
+
+def _covers(one: Filling, other: Filling) -> bool:
+    """Of as many pieces: each of ``one``, in descending order, is as long as its fellow of ``other``."""
+    a = b = 0
+    left, right = (filling[0][1] if filling else 0 for filling in (one, other))
+    while a < len(one) and b < len(other):
+        if one[a][0] < other[b][0]:
+            return False
+        both = min(left, right)
+        left, right = left - both, right - both
+        if not left and (a := a + 1) < len(one):
+            left = one[a][1]
+        if not right and (b := b + 1) < len(other):
+            right = other[b][1]
+    return True
 
 
 def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Solution:
@@ -124,7 +177,7 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     size = lambda solution: sum(times for _, times in solution)
     best, target, total = best_fit(counts, capacity), lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
     # depth first; a node: what is left, what was chosen (a linked list), sequences used, waste, and the fillings to try
-    stack = [(counts, None, 0, 0, iter(fillings(counts, capacity)))]
+    stack = [(counts, None, 0, 0, fillings(counts, capacity))]
     while stack and size(best) > target and nodes > 0:
         left, chosen, used, waste, options = stack[-1]
         filling = next(options, None)
@@ -150,7 +203,7 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
             if used + times + size(rest) < size(best):
                 best = _listed(own) + rest
         if after:
-            stack.append((after, own, used + times, waste + loss * times, iter(fillings(after, capacity))))
+            stack.append((after, own, used + times, waste + loss * times, fillings(after, capacity)))
     return best
 
 

@@ -1,6 +1,7 @@
 """Token operators against their libraries, on odd texts and on texts made at random."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -181,6 +182,45 @@ def test_search_finds_the_fewest_bins(lengths):
     assert packing.lower_bound(counts, 20) <= fewest(lengths, 20) == sum(times for _, times in solution)
 
 
+def held_in(solution, capacity):
+    held = {}
+    for filling, times in solution:
+        assert sum(x * k for x, k in filling) <= capacity and times > 0
+        for x, k in filling:
+            held[x] = held.get(x, 0) + k * times
+    return held
+
+
+@pytest.mark.parametrize("counts", [{1: 1100}, {900: 5, 1: 1_000_000}, {2: 3000, 1: 10}, {1500: 3, 2: 2500, 1: 4000}, {x: 40 for x in range(1, 1500)}])
+def test_sequences_of_very_many_pieces(counts):
+    solution = packing.pack(counts, nodes=50)
+    assert held_in(solution, packing.CAPACITY) == counts
+    assert sum(times for _, times in solution) >= packing.lower_bound(counts, packing.CAPACITY)
+    # asked for even where best fit needs no search
+    first = next(iter(packing.fillings(counts, packing.CAPACITY)))
+    assert sum(x * k for x, k in first) <= packing.CAPACITY and first[0][0] == max(counts) and all(k <= counts[x] for x, k in first)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=9))
+def test_maximal_fillings_are_all_found(lengths):
+    counts = {x: lengths.count(x) for x in sorted(lengths, reverse=True)}
+    found = [f for f in packing._maximal(list(counts), list(counts.values()), 20) if f is not None]
+    wanted = set()
+    for ks in itertools.product(*(range(n + 1) for n in counts.values())):
+        room = 20 - sum(x * k for x, k in zip(counts, ks))
+        if room >= 0 and all(k == n or x > room for (x, n), k in zip(counts.items(), ks)):
+            wanted.add(tuple((x, k) for x, k in zip(counts, ks) if k))
+    assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_thousands_of_empty_texts(spark, docs_of, sf_path):
+    rows = [(k, None if k % 2 else "") for k in range(5000)]
+    found = packing.op8_best_fit_packing(spark, sf_path(documents=docs_of(*rows))).collect()
+    check_packing(rows, found, packing.CAPACITY)
+    assert len({p["sequence_id"] for p in found}) == 3
+
+
 def slow_attribution(tokens, text, spans):
     """Token by token and byte by byte."""
     ends = np.cumsum([0] + [len(c.encode()) for c in text])
