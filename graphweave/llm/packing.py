@@ -3,13 +3,19 @@
 Documents are cut only if they exceed a sequence; full pieces take a sequence each. All others
 count by their length alone, and there are fewer lengths than places in a sequence, so the
 packing is found for the histogram: a list of fillings with the number of sequences that get each.
-Bin completion takes the largest length, enumerates its undominated fillings, and branches, each
+Bin completion takes the largest length, enumerates fillings around it, and branches, each
 filling as often as the histogram lets it; a branch ends when its waste leaves no room for a
 solution with fewer sequences than the best so far. Best fit of what is left, taken now and then
 on the way down, gives incumbents. The pieces then find their places by their rank among those of their length, from
 ranks within tasks and running totals of the tasks' histograms.
 
-The search ends at the lower bound or after ``NODES`` nodes, with the best solution found.
+The search ends at the lower bound or after ``NODES`` nodes, with the best solution found. A first
+pass tries up to ``FILLINGS`` fillings a node; while nodes are left, further passes try twice as
+many each, until none was left out. Fillings are enumerated larger pieces first in batches of
+about ``BATCH``, or what ``STEPS`` steps find; only within a batch are they put in order of
+fullness and freed of dominated ones, and the next batch is made when it is asked for. A packing
+above the lower bound is not proven to have the fewest sequences: nodes can run out, and a filling
+is tried only as often as the histogram lets it, not less often.
 
 Defined results: a null text counts as empty and has the end id alone; every row is packed,
 repeated ones too; pieces of one length are interchangeable; an empty table gives no rows.
@@ -32,7 +38,9 @@ from pyspark.sql.window import Window
 from graphweave.llm import bpe, common
 
 CAPACITY, END_ID = 2048, 0
-NODES, FILLINGS, STEPS = 6000, 8, 1500
+NODES, FILLINGS = 6000, 8
+#: Fillings are enumerated in batches of so many steps or fillings.
+STEPS, BATCH = 1500, 64
 INCUMBENT_EVERY = 100
 Filling = tuple[tuple[int, int], ...]  # (length, how many), lengths descending
 Solution = list[tuple[Filling, int]]
@@ -131,8 +139,8 @@ def _maximal(lengths: list[int], free: list[int], room: int) -> Iterator[Filling
         yield None
 
 
-def fillings(counts: dict[int, int], capacity: int, most: int = FILLINGS) -> Iterator[Filling]:
-    """Undominated fillings around the largest length, the fullest first; nothing is looked for until the first is asked for."""
+def fillings(counts: dict[int, int], capacity: int) -> Iterator[Filling]:
+    """Fillings around the largest length, batch after batch as they are asked for; of a batch the undominated ones, the fullest first."""
     lengths = sorted(counts, reverse=True)
     first, found, steps = lengths[0], [], 0
     for filling in _maximal(lengths, [counts[x] - (x == first) for x in lengths], capacity - first):
@@ -140,8 +148,13 @@ def fillings(counts: dict[int, int], capacity: int, most: int = FILLINGS) -> Ite
             steps += 1
         else:
             found.append((capacity - first - sum(x * k for x, k in filling), sum(k for _, k in filling), filling))
-        if found and (steps > STEPS or len(found) > 8 * most):
-            break
+        if found and (steps > STEPS or len(found) > BATCH):
+            yield from _undominated(first, found)
+            found, steps = [], 0
+    yield from _undominated(first, found)
+
+
+def _undominated(first: int, found: list[tuple[int, int, Filling]]) -> Iterator[Filling]:
     kept: list[tuple[int, Filling]] = []
     for _, pieces, filling in sorted(found, key=lambda x: (x[0], x[1], [(-y, -k) for y, k in x[2]])):
         if not any(n == pieces and _covers(other, filling) for n, other in kept):
@@ -149,8 +162,6 @@ def fillings(counts: dict[int, int], capacity: int, most: int = FILLINGS) -> Ite
             own = Counter(dict(filling))
             own[first] += 1
             yield tuple(sorted(own.items(), reverse=True))
-            if len(kept) == most:
-                return
 
 
 def _covers(one: Filling, other: Filling) -> bool:
@@ -176,34 +187,40 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
         return []
     size = lambda solution: sum(times for _, times in solution)
     best, target, total = best_fit(counts, capacity), lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
-    # depth first; a node: what is left, what was chosen (a linked list), sequences used, waste, and the fillings to try
-    stack = [(counts, None, 0, 0, fillings(counts, capacity))]
-    while stack and size(best) > target and nodes > 0:
-        left, chosen, used, waste, options = stack[-1]
-        filling = next(options, None)
-        if filling is None:
-            stack.pop()
-            continue
-        nodes -= 1
-        most = (size(best) - 1) * capacity - total  # more waste than that can't lead to fewer sequences
-        loss = capacity - sum(x * k for x, k in filling)
-        times = min(left[x] // k for x, k in filling)
-        if loss:
-            times = min(times, (most - waste) // loss)
-        if times <= 0:
-            continue
-        after = dict(left)
-        for x, k in filling:
-            after[x] -= k * times
-            if not after[x]:
-                del after[x]
-        own = (chosen, (filling, times))
-        if not after or nodes % INCUMBENT_EVERY == 0:
-            rest = best_fit(after, capacity)
-            if used + times + size(rest) < size(best):
-                best = _listed(own) + rest
-        if after:
-            stack.append((after, own, used + times, waste + loss * times, fillings(after, capacity)))
+    width, cut = FILLINGS, True
+    while cut and size(best) > target and nodes > 0:
+        cut = False
+        # depth first; a node: what is left, what was chosen (a linked list), sequences used, waste, the fillings to try, and how many were tried
+        stack = [[counts, None, 0, 0, fillings(counts, capacity), 0]]
+        while stack and size(best) > target and nodes > 0:
+            left, chosen, used, waste, options, tried = stack[-1]
+            filling = next(options, None) if tried < width else None
+            if filling is None:
+                cut |= tried == width
+                stack.pop()
+                continue
+            stack[-1][-1] += 1
+            nodes -= 1
+            most = (size(best) - 1) * capacity - total  # more waste than that can't lead to fewer sequences
+            loss = capacity - sum(x * k for x, k in filling)
+            times = min(left[x] // k for x, k in filling)
+            if loss:
+                times = min(times, (most - waste) // loss)
+            if times <= 0:
+                continue
+            after = dict(left)
+            for x, k in filling:
+                after[x] -= k * times
+                if not after[x]:
+                    del after[x]
+            own = (chosen, (filling, times))
+            if not after or nodes % INCUMBENT_EVERY == 0:
+                rest = best_fit(after, capacity)
+                if used + times + size(rest) < size(best):
+                    best = _listed(own) + rest
+            if after:
+                stack.append([after, own, used + times, waste + loss * times, fillings(after, capacity), 0])
+        width *= 2
     return best
 
 

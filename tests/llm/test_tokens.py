@@ -201,6 +201,12 @@ def test_sequences_of_very_many_pieces(counts):
     assert sum(x * k for x, k in first) <= packing.CAPACITY and first[0][0] == max(counts) and all(k <= counts[x] for x, k in first)
 
 
+def test_search_goes_on_past_the_first_fillings():
+    counts = {x: 1 for x in (211, 404, 218, 167, 413, 245, 342, 152, 460, 100, 334, 129, 282, 255)} | {144: 2}
+    solution = packing.pack(counts, 1000, nodes=3000)
+    assert held_in(solution, 1000) == counts and sum(times for _, times in solution) == 4
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 12), min_size=1, max_size=9))
 def test_maximal_fillings_are_all_found(lengths):
