@@ -36,13 +36,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (five words, 0.8): of each group the document with the smallest id stays.
+    """N-gram Jaccard join (five words, 0.8): of each group one row stays, that with the smallest id.
 
-    Documents without words stay; of rows that repeat an id one stays if their group keeps that id.
+    Rows are told apart by a number of their own, so those that repeat an id, or have none, are
+    rows like others; a null id comes after all others, and of rows with one id any may stay.
+    Rows without words stay.
     """
-    groups = JaccardJoin(docs, width=5, num=80, den=100).membership()
-    kept = groups.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    rows = common.materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    groups = JaccardJoin(rows, width=5, num=80, den=100, key="row").membership().select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

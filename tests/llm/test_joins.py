@@ -260,3 +260,16 @@ def test_pipeline_run_and_odd_tables(spark, docs_of, sf_path, odd):
     assert corpus_pipeline.run(spark, at).count() > 0
     nothing = sf_path(documents=docs_of().limit(0), labels=labels.limit(0))
     assert corpus_pipeline.run(spark, nothing).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark, docs_of, odd):
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    found = stage(spark, docs_of(*odd), "")
+    assert found.columns == corpus_pipeline.COLUMNS
+    # id 5 with the text of id 1 goes, what has no words stays
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str) == sorted([r for r in odd if r != (5, odd[0][1])], key=str)
+    one, two, three = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [(9, one), (9, one), (4, one), (None, one), (None, two), (None, two), (8, three), (8, three), (8, two + " v"), (None, None), (None, None), (3, ""), (3, "")]
+    # texts of 3 and 4 shingles that share 3 are below 0.8
+    kept = [(4, one), (8, two + " v"), (None, two), (8, three), (None, None), (None, None), (3, ""), (3, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs_of(*rows), "").collect()), key=str) == sorted(kept, key=str)
