@@ -37,7 +37,7 @@ HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN, LEAST_RATIO, LEAST_PER_CHAR = 16, 14.0, 0.75
 BACK_OFF = 8.0
 #: Words of letters or numbers with signs between them: what may stand for ordinary identifiers.
-ORDINARY = re.compile(rb"[+/_.=-]*(?:(?:[A-Z]?[a-z]{3,}(?:[A-Z][a-z]{3,})*|[a-z]+|[A-Z]+|[0-9]+)(?:[+/_.=-]+|\Z))+")
+ORDINARY = re.compile(rb"[+/_.=-]*(?>(?:[A-Z]?[a-z]{3,}(?:[A-Z][a-z]{3,})*|[a-z]+|[A-Z]+|[0-9]+)(?:[+/_.=-]+|\Z))+")
 #: Bound on the documents that ordinary and random samples are taken from.
 SAMPLE_DOCS = 20_000
 GENERATED = 2_000
@@ -128,7 +128,8 @@ def find(texts: list[str], models: MarkovPair) -> list[list[tuple[str, int, int]
 def labelled_samples(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SAMPLE_DOCS) -> list[tuple[str, int]]:
     """Values with labels for ``MarkovPair``: what the patterns find and generated strings are random (1), other runs of a bounded sample of the documents ordinary (0).
 
-    About ``rows`` documents are read, each giving one value of either kind at most, picked by a hash of the id.
+    About ``rows`` documents are read, picked by a hash of the id. Each gives one value of either kind at most:
+    the first that the patterns find, and the longest ordinary run of all; values are cut to 256 characters.
     """
     spark = docs.sparkSession
     common.bounded_batches(spark)
@@ -148,7 +149,7 @@ def labelled_samples(docs: DataFrame, text: str = "text", key: str = "doc_id", r
                 data = text_.encode("utf-8", "surrogatepass")
                 found = [data[a:b] for a, b in runs(data, VALUE, RUN // 2)]
                 taken = [text_[s:e].encode("utf-8", "surrogatepass") for s, _, e in spans]
-                free = [v for v in found[:50] if ORDINARY.fullmatch(v) and not any(x in v or v in x for x in taken)]
+                free = [v for v in found if ORDINARY.fullmatch(v) and not any(x in v or v in x for x in taken)]
                 if free:
                     got.append((max(free, key=len).decode("ascii")[:256], 0))
             yield pd.DataFrame(got, columns=["value", "label"])

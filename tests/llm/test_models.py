@@ -158,3 +158,9 @@ def test_redaction(spark, docs_of):
     found = {r["doc_id"]: r["redacted"] for r in secrets.scan(rows, models, redact="#").collect()}
     assert found == {1: "a #' b", 2: None, 3: "plain"}
     assert secrets.scan(rows.limit(0), models).count() == 0
+
+
+def test_ordinary_samples_come_from_whole_texts(docs_of):
+    late = "ordinary_words_that_come_late"
+    samples = secrets.labelled_samples(docs_of((1, " ".join(["plain_words"] * 60 + [late]))))
+    assert [v for v, label in samples if label == 0] == [late]
