@@ -1,9 +1,11 @@
 """Batch encoders over public vocabularies: whole texts in, flat token ids out.
 
 A text falls into chunks, each a run of blanks or line ends and the other characters up to the
-next such run. The splitting patterns of the vocabularies at hand never match across the start of
-a chunk, so the chunks' ids joined are the text's ids; each distinct chunk is encoded once by the
-tokenizer's own library and remembered. Texts with other white space are encoded whole.
+next such run. Where a vocabulary's splitting pattern never matches across the start of a chunk,
+the chunks' ids joined are the text's ids; each distinct chunk of a block of texts is then encoded
+once by the tokenizer's own library, and what was met before is remembered. ``parts_at_blanks``
+checks that of every vocabulary as its encoder is built; others encode their texts whole, and so
+are texts with other white space. Distinct chunks are found, and looked up, by Arrow.
 """
 
 from __future__ import annotations
@@ -12,9 +14,8 @@ import base64
 import os
 import re
 import unicodedata
-from collections.abc import Callable, Sequence
-from functools import lru_cache
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -24,174 +25,249 @@ from graphweave.llm import common
 
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Texts that need more care than parting at single blanks and line ends: other white space, NUL, blanks in a row or at an end.
+UNUSUAL = r"^$|^[ \n]|[ \n]\z|[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Bound on the chunks that an encoder remembers; when it is reached, those met once are forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+#: Texts are taken apart in blocks of about so many bytes: the larger, the fewer distinct chunks each byte has.
+BLOCK_BYTES = 12 << 20
 #: Of ASCII, but for the apostrophe, which the patterns keep with some letters.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 Flat = tuple[np.ndarray, np.ndarray]  # ids one after another, and how many belong to each
-
-
-def _usual(text: str) -> bool:
-    """Words with one blank or line end between them; all other white space is unprintable."""
-    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", " \n", "\n ", "\n\n")) and text.replace("\n", "").isprintable()
+Library = Callable[[list[str]], Flat]
 
 
 def _keys(text: str) -> list[str]:
     """The chunks of any text: without their blank if they begin with one, after NUL if with neither blank nor line end."""
+    if not text:
+        return []
     chunks = CHUNK.findall(text) if not OTHER_SPACE.search(text) else [text]
     return [c[1:] if len(c) > 1 and c[0] == " " and c[1] not in " \n\0" else c if c[0] == "\n" else "\0" + c for c in chunks]
 
 
-def _keys_of_usual(texts: list[str]) -> pa.ListArray:
-    """The same for texts that are ``_usual``, in Arrow."""
-    return pc.split_pattern(pa.array(["\0" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+def chunk(key: str) -> str:
+    return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
+
 
+def _large(text: str) -> pa.LargeStringScalar:
+    return pa.scalar(text, pa.large_string())
 
-def _chunk(key: str) -> str:
-    return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
+
+def _keys_of_block(texts: pa.LargeStringArray) -> tuple[pa.Array, np.ndarray]:
+    """The keys of all texts, and where each text's begin and end."""
+    odd = pc.match_substring_regex(texts, UNUSUAL)
+    usual = texts.filter(pc.invert(odd))
+    lists = pc.split_pattern(pc.binary_join_element_wise(_large("\0"), pc.replace_substring(usual, "\n", " \n"), _large("")), " ")
+    keys, limits = lists.values, lists.offsets.to_numpy()
+    if len(usual) == len(texts):
+        return keys, limits
+    own = [_keys(t) for t in texts.filter(odd).to_pylist()]
+    keys = pa.concat_arrays([keys, pa.array([k for x in own for k in x], pa.large_string())])
+    # both kinds of texts in the order in which they came
+    sizes, begins, where = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), odd.to_numpy(zero_copy_only=False)
+    sizes[~where], begins[~where] = np.diff(limits), limits[:-1]
+    sizes[where] = [len(x) for x in own]
+    begins[where] = limits[-1] + np.cumsum(sizes[where]) - sizes[where]
+    return keys.take(pa.array(common.ranges(begins, sizes))), np.concatenate(([0], np.cumsum(sizes)))
 
 
-@lru_cache(maxsize=4096)
-def _stays_letter(letter: str) -> bool:
+def stays_letter(letter: str) -> bool:
     """One letter still under NFC and lower case; others leave a mark at the end, which the patterns keep with punctuation."""
-    if letter.isascii():
-        return letter.isalpha()
     normal = unicodedata.normalize("NFC", letter).lower()
     return letter.isalpha() and len(normal) == 1 and normal.isalpha()
 
 
-class Memo:
-    """Encodes texts by distinct chunks; ``encode`` gives the ids of a list of strings.
+def flat(lists: Sequence[Sequence[int]]) -> Flat:
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
+
+
+def _sliced(encode: Callable[[list[str]], list[list[int]]], chars: int = 100_000) -> Library:
+    """``encode`` for a few texts at a time: what libraries return takes many times the room of the ids."""
+
+    def run(texts: list[str]) -> Flat:
+        parts = [flat(encode(texts[a:b])) for a, b in common.by_size(texts, chars)]
+        ids, counts = zip(*parts) if parts else ([np.zeros(0, np.int32)], [np.zeros(0, np.int64)])
+        return np.concatenate(ids), np.concatenate(counts)
+
+    return run
+
+
+def spelling() -> list[str]:
+    """A printable character for each byte: its own where Latin-1 has one, else the next from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+def _unspelled(name: str) -> bytes:
+    return b"".join(_byte_of[c] if c in _byte_of else c.encode() for c in name)
+
+
+_byte_of = {c: bytes([b]) for b, c in enumerate(spelling())} | {"▁": b" "}
+
+
+def parts_at_blanks(whole: Library, entries: Iterable[bytes]) -> bool:
+    """Whether a text's ids are those of its chunks: no entry has a blank or line end after what isn't white space, and probes give the same ids either way."""
+    if any(re.search(r"\S[ \n]", e.decode("utf-8", "replace")) for e in entries):
+        return False
+    words, between = ["a", "Ab", "1", "é", "!", "...", "don't", "x.", "(", '"', "中", "s"], [" ", "\n", "  ", " \n", "\n\n", "\n "]
+    probes = ["".join(p) for p in product(words, between, words)]
+    parts = [[chunk(k) for k in _keys(p)] for p in probes]
+    ids, counts = whole([c for own in parts for c in own])
+    found, sizes = whole(probes)
+    sums = np.add.reduceat(counts, np.cumsum([0] + [len(own) for own in parts[:-1]]))
+    return np.array_equal(ids, found) and np.array_equal(sums, sizes)
 
-    A new chunk that ends with punctuation after a letter is put together from its word and its
-    punctuation, which no splitting pattern here keeps in one piece, unless the vocabulary's
-    normalization takes the letter apart: such chunks are encoded whole.
+
+class Together:
+    """Encodes distinct keys many at a time: they are joined to one text, whose ids a table parts again.
+
+    ``marks`` flags, for each id, an entry that begins with a blank or line end (``at_start``), of
+    which a chunk has just one, or an entry that ends a word, of which letters have one and letters
+    with punctuation two. Keys of other kinds, and groups whose marks don't add up, go to ``slow``.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Flat], remembered: int = REMEMBERED):
-        self._encode, self._limit = encode, remembered
-        self._at: dict[str, int] = {}
-        self._start, self._count, self._met = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.uint8)
-        self._ids, self._used = np.zeros(4096, np.int32), 0
-
-    def _store(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        first, n = len(self._at), len(keys)
-        while first + n > len(self._start):
-            self._start, self._count, self._met = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._count, self._met))
-        if self._used + len(ids) > len(self._ids):
-            self._ids = np.concatenate([self._ids[: self._used], np.zeros(self._used + 2 * len(ids), np.int32)])
-        self._at.update(zip(keys, range(first, first + n)))
-        self._start[first : first + n] = self._used + np.cumsum(counts) - counts
-        self._count[first : first + n] = counts
-        self._met[first : first + n] = 0
-        self._ids[self._used : self._used + len(ids)] = ids
-        self._used += len(ids)
-
-    def _learn(self, keys: list[str]) -> None:
-        whole, joined, parts = [], [], []
-        for key in keys:
-            word = key.rstrip(PUNCTUATION)
-            if len(word) < len(key) and word and _stays_letter(word[-1]) and "<|" not in key:
-                joined.append(key)
-                parts += [word, "\0" + key[len(word) :]]
-            else:
-                whole.append(key)
-        whole = [k for k in dict.fromkeys(whole + parts) if k not in self._at]
-        if whole:
-            self._store(whole, *self._encode([_chunk(k) for k in whole]))
-        joined = [(k, *parts[2 * n : 2 * n + 2]) for n, k in enumerate(joined) if k not in self._at]
-        if joined:
-            which = np.array([self._at[x] for _, word, end in joined for x in (word, end)], np.int64)
-            counts = self._count[which]
-            self._store([k for k, _, _ in joined], self._ids[common.ranges(self._start[which], counts)], counts.reshape(-1, 2).sum(axis=1))
+    SIZE = 256
+
+    def __init__(self, library: Library, marks: np.ndarray, at_start: bool, slow: Callable[[list[str]], Flat]):
+        self._library, self._marks, self._at_start, self._slow = library, marks, at_start, slow
+        if at_start:
+            self._one, self._two = r"^\n?[^\x00 \n][^ \n]*\z", None
+        else:
+            letters = "".join(c for c in map(chr, range(0x250)) if stays_letter(c))
+            self._one = rf"^\n?[{letters}]+\z"
+            self._two = rf"^\n?[{letters}]+[{re.escape(PUNCTUATION)}]+\z"
+
+    def __call__(self, keys: pa.Array) -> Flat:
+        marks = np.zeros(len(keys), np.int64)
+        for k, pattern in enumerate((self._one, self._two), 1):
+            if pattern:
+                marks[pc.match_substring_regex(keys, pattern).to_numpy(zero_copy_only=False)] = k
+        own = keys.to_pylist()
+        fast = np.flatnonzero(marks)
+        ids, counts = self._joined([own[k] for k in fast.tolist()], marks[fast])
+        if len(fast) == len(own):
+            return ids, counts
+        rest = np.flatnonzero(marks == 0)
+        more, sizes = self._slow([chunk(own[k]) for k in rest.tolist()])
+        every = np.zeros(len(own), np.int64)
+        every[fast], every[rest] = counts, sizes
+        begins = np.zeros(len(own), np.int64)
+        begins[fast], begins[rest] = np.cumsum(counts) - counts, len(ids) + np.cumsum(sizes) - sizes
+        return np.concatenate([ids, more])[common.ranges(begins, every)], every
+
+    def _joined(self, keys: list[str], marks: np.ndarray) -> Flat:
+        if not keys:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        begins = np.arange(0, len(keys), self.SIZE)
+        ids, sizes = self._library([(" " + " ".join(keys[k : k + self.SIZE])).replace(" \n", "\n") for k in begins.tolist()])
+        marked = self._marks[ids]
+        upto = np.concatenate(([0], np.cumsum(marked)))
+        limits = np.concatenate(([0], np.cumsum(sizes)))
+        if not sizes.all() or (np.diff(upto[limits]) != np.add.reduceat(marks, begins)).any() or not marked[limits[:-1] if self._at_start else limits[1:] - 1].all():
+            return self._slow([chunk(k) for k in keys])
+        at = np.flatnonzero(marked)
+        ends = np.append(at[1:], len(ids)) if self._at_start else at[np.cumsum(marks) - 1] + 1
+        return ids, np.diff(ends, prepend=0)
+
+
+class Memo:
+    """Encodes texts by distinct chunks: ``encode`` gives the ids of keys, ``whole`` those of texts if there are to be no chunks."""
+
+    def __init__(self, encode: Callable[[pa.Array], Flat], whole: Callable[[list[str]], Flat] | None = None, remembered: int = REMEMBERED):
+        self.encode, self._whole, self._limit = encode, whole, remembered
+        self._clear(pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def _clear(self, keys: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
+        self._keys, self._count, self._ids = keys, counts, ids
+        self._start, self._met = np.cumsum(counts) - counts, np.ones(len(keys), np.uint8)
 
     def _forget(self) -> None:
         """What was met once goes, or everything if that frees too little."""
-        n = len(self._at)
-        kept = np.flatnonzero(self._met[:n] > 1)
+        kept = np.flatnonzero(self._met > 1)
         if len(kept) > self._limit // 2:
             kept = kept[:0]
-        number = np.full(n, -1)
-        number[kept] = np.arange(len(kept))
-        self._at = {k: int(number[x]) for k, x in self._at.items() if number[x] >= 0}
-        ids = self._ids[common.ranges(self._start[kept], self._count[kept])]
-        self._used, self._ids = len(ids), ids
-        self._count[: len(kept)], self._met[: len(kept)] = self._count[kept], 1
-        self._start[: len(kept)] = np.cumsum(self._count[: len(kept)]) - self._count[: len(kept)]
-
-    def _known(self, keys: list[str]) -> np.ndarray:
+        self._clear(self._keys.take(pa.array(kept)), self._count[kept], self._ids[common.ranges(self._start[kept], self._count[kept])])
+
+    def _known(self, keys: pa.Array) -> np.ndarray:
         """The places of distinct keys; those that are new are learned."""
-        get = self._at.get
-        which = np.fromiter([get(k, -1) for k in keys], np.int64, len(keys))
+        found = pc.index_in(keys, value_set=self._keys)
+        which = found.fill_null(-1).to_numpy().astype(np.int64)
         unknown = np.flatnonzero(which < 0)
         if len(unknown):
-            new = [keys[k] for k in unknown.tolist()]
-            self._learn(new)
-            which[unknown] = [self._at[k] for k in new]
+            new = keys.take(pa.array(unknown))
+            ids, counts = self.encode(new)
+            which[unknown] = len(self._keys) + np.arange(len(unknown))
+            self._start = np.concatenate([self._start, len(self._ids) + np.cumsum(counts) - counts])
+            self._count, self._ids = np.concatenate([self._count, counts]), np.concatenate([self._ids, ids])
+            self._met = np.concatenate([self._met, np.zeros(len(unknown), np.uint8)])
+            self._keys = pa.concat_arrays([self._keys, new])
+        self._met[which] = np.minimum(self._met[which], 1) + 1
         return which
 
-    def __call__(self, texts: list[str]) -> Flat:
-        """All ids, one text after another, and the number of ids of each text."""
-        parts, counts = [], []
-        for begin, end in common.by_size(texts, 2_000_000):
-            if len(self._at) > self._limit:
+    def __call__(self, texts: Sequence[str | None] | pa.Array) -> Flat:
+        """All ids, one text after another, and the number of ids of each text; null texts have none."""
+        array = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()), "")
+        parts = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        for block in _blocks(array):
+            if self._whole:
+                parts.append(self._whole(block.to_pylist()))
+                continue
+            if len(self._keys) > self._limit:
                 self._forget()
-            block = texts[begin:end]
-            usual = [_usual(t) for t in block]
-            runs = np.flatnonzero(np.diff([2, *usual, 2]))
-            for a, b in zip(runs[:-1].tolist(), runs[1:].tolist()):
-                if usual[a]:
-                    lists = _keys_of_usual(block[a:b])
-                    keys, limits = lists.values, lists.offsets.to_numpy()
-                else:
-                    own = [_keys(t) if t else [] for t in block[a:b]]
-                    keys, limits = pa.array([k for x in own for k in x], pa.large_string()), np.concatenate(([0], np.cumsum([len(x) for x in own])))
-                coded = keys.dictionary_encode()
-                which = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
-                self._met[which] = np.minimum(self._met[which], 1) + 1
-                count = self._count[which]
-                parts.append(self._ids[common.ranges(self._start[which], count)])
-                counts.append(np.diff(np.concatenate(([0], np.cumsum(count, dtype=np.int64)))[limits]))
-        if not parts:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        return np.concatenate(parts), np.concatenate(counts)
-
-
-def flat(lists: Sequence[Sequence[int]]) -> Flat:
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
-
-
-TOGETHER = 256
+            keys, limits = _keys_of_block(block)
+            coded = keys.dictionary_encode()
+            which = self._known(coded.dictionary)[coded.indices.to_numpy()]
+            count = self._count[which]
+            parts.append((self._ids[common.ranges(self._start[which], count)], np.diff(np.concatenate(([0], np.cumsum(count, dtype=np.int64)))[limits])))
+        ids, counts = zip(*parts)
+        return np.concatenate(ids), np.concatenate(counts)
+
+
+def _blocks(texts: pa.LargeStringArray) -> Iterator[pa.Array]:
+    """Consecutive texts of about ``BLOCK_BYTES`` together, one at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        done = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + BLOCK_BYTES, "right")))
+        yield texts.slice(begin, end - begin)
+        begin = end
 
 
 def library_encoder(path: str) -> Memo:
-    """A vocabulary file of the tokenizers library, without added special tokens.
-
-    The library takes a text apart at special tokens before all else, so chunks are handed over
-    many at a time with one between them.
-    """
+    """A vocabulary file of the tokenizers library, without added special tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    names = [tokenizer.id_to_token(k) or "" for k in range(tokenizer.get_vocab_size())]
     special = {t.content: k for k, t in tokenizer.get_added_tokens_decoder().items()}
     between = next(iter(special), None)
 
-    def each(chunks: list[str]) -> Flat:
-        return flat([e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+    library = _sliced(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def encode(chunks: list[str]) -> Flat:
+    def slow(chunks: list[str]) -> Flat:
+        """Many at a time with a special token between: the library takes a text apart at these before all else."""
         if between is None or any(s in c for c in chunks if "<" in c for s in special):
-            return each(chunks)
-        groups = [between.join(chunks[k : k + TOGETHER]) for k in range(0, len(chunks), TOGETHER)]
-        ids, sizes = flat([e.ids for e in tokenizer.encode_batch_fast([g + between for g in groups], add_special_tokens=False)])
+            return library(chunks)
+        groups = [between.join(chunks[k : k + Together.SIZE]) + between for k in range(0, len(chunks), Together.SIZE)]
+        ids, _ = library(groups)
         ends = np.flatnonzero(ids == special[between])
         if len(ends) != len(chunks):
-            return each(chunks)
+            return library(chunks)
         return ids[ids != special[between]], np.diff(ends, prepend=-1) - 1
 
-    return Memo(encode)
+    if not parts_at_blanks(library, (_unspelled(n) for n in names if n not in special)):
+        return Memo(no_chunks, whole=library)
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    marks = np.array([n.endswith(suffix) if suffix else n[:1] in ("Ġ", "Ċ") for n in names])
+    return Memo(Together(library, marks, not suffix, slow) if marks.any() else lambda keys: slow([chunk(k) for k in keys.to_pylist()]))
+
+
+def no_chunks(keys: pa.Array) -> Flat:
+    raise ValueError("this vocabulary has no chunks")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -203,8 +279,14 @@ def rank_encoder(path: str, pattern: str) -> Memo:
     """A rank file by the tiktoken library, without special tokens."""
     import tiktoken
 
-    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    return Memo(lambda chunks: flat([encoding.encode_ordinary(c) for c in chunks]))
+    ranks = read_ranks(path)
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    library = _sliced(lambda texts: [encoding.encode_ordinary(t) for t in texts])
+    if not parts_at_blanks(library, ranks):
+        return Memo(no_chunks, whole=library)
+    marks = np.zeros(max(ranks.values()) + 1, bool)
+    marks[[rank for entry, rank in ranks.items() if entry[:1] in (b" ", b"\n")]] = True
+    return Memo(Together(library, marks, True, library))
 
 
 def splits(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:

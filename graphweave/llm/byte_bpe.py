@@ -23,13 +23,6 @@ from pyspark.sql import functions as F
 from graphweave.llm import bpe, common
 
 
-def spelling() -> list[str]:
-    """A printable character for each byte: its own where Latin-1 has one, else the next from U+0100 on."""
-    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return [chr(b if b in own else next(others)) for b in range(256)]
-
-
 def _varint(n: int) -> bytes:
     n &= (1 << 64) - 1
     out = bytearray()
@@ -57,7 +50,7 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
     unk_id_field, bos_id_field, eos_id_field, pad_id_field = 40, 41, 42, 43
     name_field, dummy_prefix_field, extra_spaces_field, escape_field = 1, 3, 4, 5
 
-    spelled = spelling()
+    spelled = bpe.spelling()
     by_rank = sorted(ranks, key=ranks.__getitem__)
     if [ranks[x] for x in by_rank] != list(range(len(by_rank))):
         raise ValueError("ranks must run from 0 without gaps")
@@ -76,17 +69,22 @@ class Encoder:
         import sentencepiece
 
         ranks = bpe.read_ranks(ranks_path)
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("the ranks lack some single byte, so some texts have no ids")
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         self._pattern = regex.compile(pattern)
-        self._spelled = dict(enumerate(spelling()))
+        self._spelled = dict(enumerate(bpe.spelling()))
         entries = sorted(ranks, key=ranks.__getitem__)
         self._bytes = np.frombuffer(b"".join(entries), np.uint8)
         self._length = np.array([len(e) for e in entries], np.int64)
         self._first = np.cumsum(self._length) - self._length
-        self.encode = bpe.Memo(self._chunks)
+        self.encode = bpe.Memo(self._of_keys) if bpe.parts_at_blanks(self._of_texts, ranks) else bpe.Memo(bpe.no_chunks, whole=self._of_texts)
 
-    def _chunks(self, chunks: list[str]) -> bpe.Flat:
-        split = [self._pattern.findall(c) for c in chunks]
+    def _of_keys(self, keys: pa.Array) -> bpe.Flat:
+        return self._of_texts(list(map(bpe.chunk, keys.to_pylist())))
+
+    def _of_texts(self, texts: list[str]) -> bpe.Flat:
+        split = [self._pattern.findall(t) for t in texts]
         tokens = list(dict.fromkeys(t for own in split for t in own))
         spelled = [t.encode("utf-8").decode("latin-1").translate(self._spelled) for t in tokens]
         ids = dict(zip(tokens, self._model.encode(spelled, out_type=int, num_threads=1)))
@@ -106,8 +104,8 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = common.once(Encoder, ranks, pattern)
-        for batch in batches:
-            ids, counts = encoder.encode(common.texts_of(batch.column("text").to_pylist()))
+        for batch in common.joined(batches):
+            ids, counts = encoder.encode(batch.column("text"))
             starts = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts), pa.array(ids))], names=["doc_id", "ids"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_PER_BATCH = 1000
+#: Bound on an Arrow batch of texts on its way to a Python worker.
+BYTES_PER_BATCH = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,12 +62,17 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(target))
 
 
-def bounded_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Keeps Arrow batches of texts small, so that a Python worker holds few texts at once."""
+def bounded_batches(spark: SparkSession, size: int = BYTES_PER_BATCH) -> None:
+    """Keeps Arrow batches small in bytes, however long the texts are, so that a Python worker holds few of them at once.
+
+    Frames are lazy and the session's setting counts when they are computed, so it stays; a smaller one is left as it is.
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = re.fullmatch(r"(\d+)([a-z]*)", spark.conf.get(key).lower())
+    units = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    if not found or not 0 < int(found[1]) * units.get(found[2], 1 << 40) <= size:
+        spark.conf.set(key, str(size))
 
 
 @contextmanager
@@ -80,6 +87,20 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def joined(batches: Iterable[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches put together to about ``size`` bytes; a batch that is larger comes alone."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        if held and total + batch.nbytes > size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+        held.append(batch)
+        total += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 _kept: dict[tuple, object] = {}
 
 

@@ -257,10 +257,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         part, encoder = TaskContext.get().partitionId(), common.once(bpe.library_encoder, tokenizer)
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4")
-        for batch in batches:
-            texts = common.texts_of(batch.column("text").to_pylist())
+        for batch in common.joined(batches):
             doc, piece, start, length, crc, rank = [], [], [], [], [], []
-            for k, own in enumerate(bpe.splits(*encoder(texts))):
+            for k, own in enumerate(bpe.splits(*encoder(batch.column("text")))):
                 own = np.concatenate([own.astype("<u4"), end])
                 at = 0
                 for p in range(-(-len(own) // capacity)):
@@ -301,7 +300,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 offset[own] = row[:, 3] + inner % row[:, 2] * length
             yield batch.drop(columns="overall").assign(sequence_id=sequence, offset=offset)
 
-    ranked = rest.join(earlier, ["part", "length"]).select(*out[:5], (F.col("rank") + F.col("earlier")).alias("overall"))
+    ranked = rest.join(earlier.hint("merge"), ["part", "length"]).select(*out[:5], (F.col("rank") + F.col("earlier")).alias("overall"))
     placed = ranked.mapInPandas(common.tidied(place), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
     return full.select(*out).unionAll(placed.select(*out))
 

@@ -78,10 +78,10 @@ def token_counts(docs: DataFrame, ranks: str, pattern: str, sections: Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, lengths = common.once(bpe.rank_encoder, ranks, pattern), common.once(_lengths, ranks)
-        for batch in batches:
+        for batch in common.joined(batches):
             texts = common.texts_of(batch.column("text").to_pylist())
             doc, section, begin, end, counted = [], [], [], [], [[], [], []]
-            for k, (own, ids) in enumerate(zip(texts, bpe.splits(*encoder(texts)))):
+            for k, (own, ids) in enumerate(zip(texts, bpe.splits(*encoder(batch.column("text"))))):
                 spans = sections(own)
                 found = attribute(own, lengths[ids], spans)
                 rows = len(spans) + bool(found[2][-1] > 0)

@@ -37,17 +37,16 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
         from pyspark import TaskContext
 
         part, before, encoder = TaskContext.get().partitionId(), 0, common.once(bpe.library_encoder, tokenizer)
-        for batch in batches:
-            texts = common.texts_of(batch.column("text").to_pylist())
-            ids, counts = encoder(texts)
+        for batch in common.joined(batches):
+            ids, counts = encoder(batch.column("text"))
             ends = np.cumsum(counts + 1)
-            whole = np.full(int(counts.sum()) + len(texts), end_id, np.int32)
+            whole = np.full(len(ids) + len(counts), end_id, np.int32)
             mask = np.ones(len(whole), bool)
             mask[ends - 1] = False
             whole[mask] = ids
             starts = np.concatenate(([0], ends)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(texts), part, np.int32)), pa.array(before + starts[:-1].astype(np.int64)), pa.array(counts + 1), pa.ListArray.from_arrays(pa.array(starts), pa.array(whole))],
+                [batch.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(before + starts[:-1].astype(np.int64)), pa.array(counts + 1), pa.ListArray.from_arrays(pa.array(starts), pa.array(whole))],
                 names=["doc_id", "part", "before", "n_tokens", "ids"],
             )
             before += len(whole)

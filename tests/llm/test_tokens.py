@@ -53,7 +53,7 @@ def test_every_letter_before_punctuation():
 def test_memory_bound_changes_nothing():
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefg", k=rng.randint(1, 6))) for _ in range(300)]
-    small = bpe.Memo(bpe.library_encoder(P.path("byte_bpe_50k.json"))._encode, remembered=40)
+    small = bpe.Memo(bpe.library_encoder(P.path("byte_bpe_50k.json")).encode, remembered=40)
     for _ in range(20):
         batch = [" ".join(rng.choices(words, k=20)) for _ in range(3)]
         assert [x.tolist() for x in bpe.splits(*small(batch))] == [ids_of("byte_bpe_50k.json", t) for t in batch]
