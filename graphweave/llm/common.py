@@ -8,7 +8,7 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager, suppress
 from pathlib import Path
 
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bound on an Arrow batch of texts on its way to a Python worker.
 BYTES_PER_BATCH = 2 << 20
@@ -132,6 +133,30 @@ def tidied(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable
     return tidy
 
 
+def with_results(docs: DataFrame, text: str, keep: Sequence[str], results: Mapping[str, str | T.DataType], make: Callable[[], Callable[[list[str | None]], Sequence[pa.Array]]]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the columns ``results`` (name to type) that the function of ``make`` gives for a list of texts.
+
+    ``make`` is called once for each task. What is kept passes through Arrow untouched, whatever its
+    type, nulls and name; a kept column that is named as a result gives way to it.
+    """
+    bounded_batches(docs.sparkSession)
+    kept = [c for c in keep if c not in results]
+    places = {c: f"keep_{k}" for k, c in enumerate(kept)}
+    inner = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in places.items()], F.col(text).alias("whole_text"))
+    out = inner.drop("whole_text").schema
+    for name, kind in results.items():
+        out = out.add(f"result_{name}", kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            found = function(batch.column("whole_text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*[batch.column(a) for a in places.values()], *found], names=out.names)
+
+    done = inner.mapInArrow(tidied(run), out)
+    return done.select(*[F.col(a).alias(c) for c, a in places.items()], *[F.col(f"result_{name}").alias(name) for name in results])
+
+
 def learns(doc_id: str = "doc_id") -> Column:
     """Rows that a model may learn from; the others are held out."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 != 0

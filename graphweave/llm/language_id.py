@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,21 +141,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all but the text by default) with ``lang_pred`` and ``score``."""
-    spark: SparkSession = docs.sparkSession
-    common.bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in (docs.columns if keep is None else keep) if c != text or keep is not None]
-    kept = [c for c in kept if c not in ("lang_pred", "score")]
-    inner = docs.select(*[F.col(c).alias(f"keep_{k}") for k, c in enumerate(kept)], F.col(text).alias("whole_text"))
-    out = inner.drop("whole_text").schema.add("lang_pred", "string").add("score", "double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in docs.columns if c != text] if keep is None else keep
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            names, scores = shared.value.predict(common.texts_of(batch["whole_text"]))
-            yield batch.drop(columns="whole_text").assign(lang_pred=names, score=np.array(scores, float))
+    def results(texts: list[str | None]) -> list[pa.Array]:
+        names, scores = shared.value.predict(common.texts_of(texts))
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
-    scored = inner.mapInPandas(common.tidied(run), out)
-    return scored.select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(kept)], "lang_pred", "score")
+    return common.with_results(docs, text, kept, {"lang_pred": "string", "score": "double"}, lambda: results)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ empty table gives no rows; other columns of the input are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,11 @@ from graphweave.llm.components import components
 from graphweave.llm.shingles import identity, mix, shingle_sets
 
 COUNTER_BITS, COUNTER_BLOCK = 20, 1 << 14
-FILTER_BITS = 24
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 16, 27
+#: Rows of a key are dealt to so many tasks at most; entries with more members than HOT are split further where their members are compared.
+SALTS, HOT = 256, 2048
+#: A task indexes copies of a set once, as long as it remembers them.
+SEEN = 200_000
 #: Words of 64 bits in the parity bitmap of every set, and in the one that large sets have besides.
 PARITY_WORDS, WIDE_WORDS, WIDE_FROM = 8, 128, 1000
 SINGLES_BELOW, PER_CLASS = 16, 64
@@ -65,7 +70,7 @@ class Signatures:
         if smallest == n and n * self.den // self.num == n:
             return np.zeros(0, np.uint64), np.zeros(0, np.int32)  # no other set is similar enough
         missable = n - smallest
-        levels = sorted({smallest.bit_length() - 1, n.bit_length() - 1})
+        levels = range(smallest.bit_length() - 1, n.bit_length())  # of all sizes that the smaller set of a pair can have
         classes = {level: max(1, (1 << level) // PER_CLASS) if 1 << level >= SINGLES_BELOW else 0 for level in levels}
         longest = min(n, missable + 1 + max(classes.values()))
         counts = self.counters[tokens & np.uint64(len(self.counters) - 1)].astype(np.uint64)
@@ -111,27 +116,44 @@ def parity(tokens: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
     return np.packbits((np.bincount(buckets, minlength=64 * words) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _places(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.astype(np.int64).view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+def _place(key: np.ndarray, bits: int) -> np.ndarray:
+    """Where a key's flag stands; ``BitFilter.of`` says the same in Spark's terms."""
+    key = key.astype(np.int64).view(np.uint64)
+    return ((key ^ (key >> np.uint64(17)) ^ (key >> np.uint64(37))) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def bit_filter(keys: DataFrame) -> np.ndarray:
-    """A table of ``2**FILTER_BITS`` flags, eight to a byte, set where one of the ``keys`` (one bigint column, no nulls) falls."""
+class BitFilter:
+    """Flags for a set of keys, in a table that grows with their number up to ``MOST_FILTER_BITS``; keys outside the set seldom pass."""
 
-    def flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            own[_places(batch["key"].to_numpy())] = True
-        yield pd.DataFrame({"part": [0], "bits": [np.packbits(own).tobytes()]})
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
 
-    with common.batches_of(keys.sparkSession, 50_000):
-        got = keys.toDF("key").mapInPandas(common.tidied(flags), "part int, bits binary").groupBy("part").applyInPandas(_or_bits, "part int, bits binary").collect()
-    return np.frombuffer(bytes(got[0]["bits"]), np.uint8) if got else np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    @classmethod
+    def of(cls, keys: DataFrame) -> BitFilter:
+        """Of one bigint column without nulls; summed by word before anything moves, and collected as one number a word."""
+        bits = min(max(LEAST_FILTER_BITS, (8 * keys.count()).bit_length()), MOST_FILTER_BITS)
+        key = F.col("key")
+        place = key.bitwiseXOR(F.shiftrightunsigned(key, 17)).bitwiseXOR(F.shiftrightunsigned(key, 37)).bitwiseAND(F.lit((1 << bits) - 1))
+        flags = keys.toDF("key").select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("flag"))
+        got = flags.groupBy("word").agg(F.bit_or("flag").alias("flags")).toArrow()
+        words = np.zeros(1 << (bits - 6), np.int64)
+        words[got.column("word").to_numpy()] = got.column("flags").to_numpy()
+        return cls(bits, words)
 
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        place = _place(keys, self.bits)
+        return (self.words[place >> 6] >> (place & 63)) & 1 == 1
 
-def flagged(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    places = _places(keys)
-    return (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
+
+def attached(many: DataFrame, one: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with the rows that ``one`` has for its ``keys``, where a key may hold most rows of ``many``.
+
+    The rows of a key are dealt to up to ``SALTS`` tasks by a hash of ``spread``; what ``one`` has
+    for the key is copied once for each that has rows, so never more often than ``many`` repeats it.
+    """
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    wanted = dealt.select(*keys, "salt").distinct().join(one, keys, how)
+    return dealt.join(wanted, [*keys, "salt"]).drop("salt")
 
 
 def _sum_blocks(group: pd.DataFrame) -> pd.DataFrame:
@@ -139,18 +161,14 @@ def _sum_blocks(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [int(group["block"].iloc[0])], "counts": [total.tobytes()]})
 
 
-def _or_bits(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group["bits"]])
-    return pd.DataFrame({"part": [0], "bits": [total.tobytes()]})
-
-
 class JaccardJoin:
     """Joins the texts of ``docs`` with themselves at Jaccard similarity ``num / den`` of ``width``-word shingles."""
 
     def __init__(self, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id"):
         self.spark, self.width, self.num, self.den = docs.sparkSession, width, num, den
         common.bounded_batches(self.spark)
-        self.docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+        # pandas would take a column of numbers with nulls for one of doubles
+        self.docs = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("doc_id"), F.col(key).isNull().alias("nameless"), F.col(text).alias("text"))
         self._measure()
 
     def _measure(self) -> None:
@@ -168,7 +186,7 @@ class JaccardJoin:
                     n.append(len(found)), one.append(a), two.append(b), bits.append(parity(found))
                     wide.append(parity(found, WIDE_WORDS) if len(found) >= WIDE_FROM else None)
                 planes = np.array(bits, np.int64).reshape(-1, PARITY_WORDS).T
-                columns = [batch["doc_id"].astype("Int64"), *[pd.array(x, "Int64") for x in (n, one, two, *planes)]]
+                columns = [pd.arrays.IntegerArray(batch["doc_id"].to_numpy(np.int64), batch["nameless"].to_numpy(bool)), *[pd.array(x, "Int64") for x in (n, one, two, *planes)]]
                 yield pd.DataFrame(dict(zip(longs, columns)) | {"wide": pd.Series(wide, dtype=object), "block": None, "counts": None})
             for k in range(0, len(counters), COUNTER_BLOCK):
                 part = counters[k : k + COUNTER_BLOCK]
@@ -177,9 +195,10 @@ class JaccardJoin:
 
         both = common.materialize(self.docs.mapInPandas(common.tidied(measure), ", ".join(f"{c} bigint" for c in longs) + ", wide array<bigint>, block int, counts binary"), "sets")
         self.sets = both.where("block is null").select("doc_id", "n", "a", "b")
+        # a class is numbered as it is written; ``rep`` is its least id, null if none of its rows has one
         classes = both.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in words])
-        self.planes = common.materialize(classes, "classes")
-        self.classes = self.planes.select("a", "b", "n", "rep")
+        self.planes = common.materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        self.classes = self.planes.select("a", "b", "n", "rep", "cid")
         self.wide = common.materialize(both.where("wide is not null").groupBy("a").agg(F.first("wide").alias("wide")), "wide")
         self.counters = np.zeros(1 << COUNTER_BITS, np.int64)
         blocks = both.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_sum_blocks, "block int, counts binary")
@@ -198,6 +217,8 @@ class JaccardJoin:
                     node = identity(found)[0] if len(found) else 0
                     if not len(found) or node in done:
                         continue
+                    if len(done) >= SEEN:
+                        done.clear()
                     done.add(node)
                     sig, miss = shared.value.of(found)
                     sigs.append(sig), misses.append(miss)
@@ -208,12 +229,12 @@ class JaccardJoin:
         return self.docs.select("text").mapInPandas(common.tidied(index), "sig bigint, node bigint, n int, miss int")
 
     def _only(self, index: DataFrame, several: DataFrame) -> DataFrame:
-        """The entries whose ``sig`` may be in ``several``; few of the others pass the filter, and none of those is lost."""
-        wanted = self.spark.sparkContext.broadcast(bit_filter(several.select("sig")))
+        """The entries whose ``sig`` may be in ``several``: few of the others pass the filter, and none of those is lost."""
+        wanted = self.spark.sparkContext.broadcast(BitFilter.of(several.select("sig")))
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(flagged(wanted.value, batch.column("sig").to_numpy())))
+                yield batch.filter(pa.array(wanted.value.passes(batch.column("sig").to_numpy())))
 
         narrow = index.select("sig", "node", "n", "miss", "place")
         return narrow.mapInArrow(common.tidied(keep), narrow.schema)
@@ -231,28 +252,31 @@ class JaccardJoin:
         differ = " + ".join(f"bit_count(p_x[{k}] ^ p_y[{k}])" for k in range(PARITY_WORDS))
         # shared tokens are at most (n_x + n_y - differ) / 2
         room = lambda d: f"(n_x + n_y - ({d})) * {self.num + self.den} >= 2 * (n_x + n_y) * {self.num}"
-        kept = common.materialize(pairs.join(sides[0], "x").join(sides[1], "y").where(room(differ)).select("x", "y", "n_x", "n_y").distinct(), "near")
-        for c in "xy":
-            kept = kept.join(self.wide.select(F.col("a").alias(c), F.col("wide").alias(f"wide_{c}")), c, "left")
+        known = attached(attached(pairs, sides[0], ["x"], "y"), sides[1], ["y"], "x")
+        kept = common.materialize(known.where(room(differ)).select("x", "y", "n_x", "n_y").distinct(), "near")
+        large = kept.where(f"n_x >= {WIDE_FROM} and n_y >= {WIDE_FROM}").select("x", "y", "n_x", "n_y")
+        wide = [self.wide.select(F.col("a").alias(c), F.col("wide").alias(f"wide_{c}")) for c in "xy"]
         differ = "aggregate(zip_with(wide_x, wide_y, (p, q) -> bit_count(p ^ q)), 0, (t, p) -> t + p)"
-        return kept.where(f"wide_x is null or wide_y is null or {room(differ)}").select("x", "y").distinct()
+        large = attached(attached(large, wide[0], ["x"], "y"), wide[1], ["y"], "x").where(room(differ))
+        return kept.where(f"n_x < {WIDE_FROM} or n_y < {WIDE_FROM}").select("x", "y").unionAll(large.select("x", "y")).distinct()
 
     def _sets_of(self, nodes: DataFrame) -> DataFrame:
-        """(a, b, tokens) of the classes whose node is in ``nodes``, and a few others: a filter of fixed size spares the rest the work."""
+        """(a, b, tokens) of the classes whose node is in ``nodes``, and a few others: a filter on their least ids spares the rest the work."""
         width = self.width
-
-        reps = self.classes.join(nodes, F.col("a") == F.col("node"), "left_semi").select("rep").where("rep is not null")
-        wanted = self.spark.sparkContext.broadcast(bit_filter(reps))
+        reps = self.classes.join(nodes, F.col("a") == F.col("node"), "left_semi").select("rep")
+        wanted = self.spark.sparkContext.broadcast(BitFilter.of(reps.where("rep is not null")))
+        nameless = not reps.where("rep is null").isEmpty()  # then all rows without an id are looked at
 
         def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             done: set[tuple[int, int]] = set()
             for batch in batches:
-                batch = batch[batch["doc_id"].notna()]
-                batch = batch[flagged(wanted.value, batch["doc_id"].to_numpy(np.int64))]
+                batch = batch[np.where(batch["nameless"], nameless, wanted.value.passes(batch["doc_id"].to_numpy(np.int64)))]
                 rows = []
                 for found in shingle_sets(common.texts_of(batch["text"]), width):
                     own = identity(found)
                     if len(found) and own not in done:
+                        if len(done) >= SEEN:
+                            done.clear()
                         done.add(own)
                         rows.append((*own, found.view(np.int64)))
                 yield pd.DataFrame({"a": pd.array([r[0] for r in rows], "int64"), "b": pd.array([r[1] for r in rows], "int64"), "tokens": pd.Series([r[2] for r in rows], dtype=object)})
@@ -260,56 +284,77 @@ class JaccardJoin:
         return common.materialize(self.docs.mapInPandas(common.tidied(tokens), "a bigint, b bigint, tokens array<bigint>"), "tokens")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Links (u, v: representatives, u < v) among the pairs (x, y) of nodes."""
+        """Links (u, v: numbers of classes, u < v) among the pairs (x, y) of nodes; ``y`` may be in very many of them."""
         pairs = common.materialize(self._near(pairs), "pairs")
         nodes = pairs.select(F.col("x").alias("node")).unionAll(pairs.select(F.col("y").alias("node"))).distinct()
-        sets = self._sets_of(nodes)
-        left, right = (sets.select(F.col("a").alias(c), F.col("b").alias(f"b_{c}"), F.col("tokens").alias(f"tokens_{c}")) for c in "xy")
+        sets = self._sets_of(nodes).join(self.classes.select("a", "b", "cid"), ["a", "b"])
+        left, right = (sets.select(F.col("a").alias(c), F.col("cid").alias(f"c_{c}"), F.col("tokens").alias(f"tokens_{c}")) for c in "xy")
         shared, both = "size(array_intersect(tokens_x, tokens_y))", "(size(tokens_x) + size(tokens_y))"
-        linked = pairs.join(left, "x").join(right, "y").where(f"cast({shared} as bigint) * {self.num + self.den} >= cast({both} as bigint) * {self.num}")
-        named = linked.select("x", "b_x", "y", "b_y").distinct()
-        for c in "xy":
-            named = named.join(self.classes.select(F.col("a").alias(c), F.col("b").alias(f"b_{c}"), F.col("rep").alias(f"rep_{c}")), [c, f"b_{c}"])
-        return common.materialize(named.select(F.least("rep_x", "rep_y").alias("u"), F.greatest("rep_x", "rep_y").alias("v")).where("u < v").distinct(), "links")
+        # x's tokens move with each pair, y's once for each task that has pairs of y
+        compared = attached(pairs.join(left, "x"), right, ["y"], "x")
+        linked = compared.where(f"cast({shared} as bigint) * {self.num + self.den} >= cast({both} as bigint) * {self.num}")
+        return common.materialize(linked.select(F.least("c_x", "c_y").alias("u"), F.greatest("c_x", "c_y").alias("v")).where("u < v").distinct(), "links")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
-        """Links between representatives that connect what is connected, and (node, component) of the linked representatives."""
+        """Links (u, v) between classes, by number, that connect what is connected, and (node, component) of the linked classes."""
         index = common.materialize(self.entries(), "index")
         # a member's place in its entry: fewest missed first, then by node; the first is the centre
         place = F.shiftleft(F.least("miss", F.lit(32767)).cast("bigint"), 48).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 48) - 1)))
         index = index.withColumn("place", place).withColumn("bounds", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR((F.col("n") - F.col("miss")).cast("bigint")))
-        several = index.groupBy("sig").agg(F.min("place").alias("centre"), F.max("place").alias("last"), F.min("bounds").alias("low"), F.max("bounds").alias("high"), F.count("*").cast("int").alias("members")).where("centre < last")
+        several = index.groupBy("sig").agg(F.min("place").alias("centre"), F.max("place").alias("last"), F.min("bounds").alias("low"), F.max("bounds").alias("high"), F.count("*").alias("members")).where("centre < last")
         # where just two met, their bounds are known here already
         sizes, rest = ([F.shiftright(c, 32) for c in ("low", "high")], [F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("low", "high")])
         may = (sizes[0] * self.den >= sizes[1] * self.num) & (F.least(*rest) * (self.num + self.den) >= (sizes[0] + sizes[1]) * self.num)
-        several = several.where((F.col("members") > 2) | may).select("sig", "centre", "members")
-        several = common.materialize(several, "several")
+        several = common.materialize(several.where((F.col("members") > 2) | may).select("sig", "centre", "members"), "several")
         with common.batches_of(self.spark, 50_000):
-            met = common.materialize(self._only(index, several).join(several, "sig").select("sig", "node", "n", "miss", "members", (F.col("place") == F.col("centre")).alias("is_centre")).distinct(), "met")
-        x, c = met.where("not is_centre").alias("x"), met.where("is_centre").alias("c")
-        star = x.join(c, F.expr("x.sig = c.sig and x.node <> c.node") & self._may_link("x", "c"))
-        links = self._verified(star.select(F.expr("least(x.node, c.node)").alias("x"), F.expr("greatest(x.node, c.node)").alias("y")).distinct())
+            found = common.materialize(self._only(index, several), "found")
+        centres = found.join(several, (found["sig"] == several["sig"]) & (found["place"] == several["centre"]))
+        centres = centres.select(found["sig"], F.col("node").alias("c_node"), F.col("n").alias("c_n"), F.col("miss").alias("c_miss"), "members").distinct()
+        met = common.materialize(attached(found, centres, ["sig"], "node").where("node <> c_node").drop("place").distinct(), "met")
+        may_link = f"least(n, c_n) * {self.den} >= greatest(n, c_n) * {self.num} and cast(least(n - miss, c_n - c_miss) as bigint) * {self.num + self.den} >= cast(n + c_n as bigint) * {self.num}"
+        links = self._verified(met.where(may_link).select(F.col("node").alias("x"), F.col("c_node").alias("y")).distinct())
         joined = components(links)
-        # pairs within an entry that are still apart; a member that hangs together with the centre meets only those that don't
-        labels = self.classes.join(joined, F.col("rep") == F.col("node")).select(F.col("a").alias("node"), F.col("component").alias("label")).distinct()
-        known = met.where("members > 2").join(labels, "node", "left").withColumn("label", F.struct(F.col("label").isNull().alias("alone"), F.coalesce("label", "node").alias("id")))
-        known = common.materialize(known.select("sig", "node", "n", "miss", "is_centre", F.col("label.alone").alias("alone"), F.col("label.id").alias("id")), "known")
-        of_centre = known.where("is_centre").groupBy("sig").agg(F.min("alone").alias("c_alone"), F.min("id").alias("c_id"))
-        apart = known.where("not is_centre").join(of_centre, "sig").where("alone <> c_alone or id <> c_id").drop("c_alone", "c_id")
-        a, b = apart.alias("x"), known.where("not is_centre").alias("y")
-        rest = a.join(b, F.expr("x.sig = y.sig and x.node <> y.node and (x.alone <> y.alone or x.id <> y.id)") & self._may_link("x", "y"))
-        rest = rest.select(F.expr("least(x.node, y.node)").alias("x"), F.expr("greatest(x.node, y.node)").alias("y")).distinct()
-        more = self._verified(rest)
+        more = self._verified(self._apart(met, joined))
         if more.isEmpty():
             return links, joined
         return links.unionAll(more), components(links.unionAll(more))
 
+    def _apart(self, met: DataFrame, joined: DataFrame) -> DataFrame:
+        """Pairs (x, y) of members of one entry that are in different components, as far as sizes and missed tokens leave room.
+
+        A member that hangs together with the entry's centre meets only those that don't. Members
+        meet in blocks of sizes: the larger of a pair (by size, then node) looks for smaller ones in
+        its own block and the one below, where ``den / num`` (and a little more) is the blocks' ratio.
+        """
+        labels = self.classes.join(joined, F.col("cid") == F.col("node")).groupBy("a").agg(F.min("component").alias("label"))
+        rows = met.where("members > 2").select("sig", "node", "n", "miss", "c_node", "members")
+        rows = rows.join(labels.withColumnRenamed("a", "node"), "node", "left")
+        rows = attached(rows, labels.select(F.col("a").alias("c_node"), F.col("label").alias("c_label")), ["c_node"], "node", "left")
+        # a class in no component stands for itself
+        rows = rows.withColumn("alone", F.col("label").isNull()).withColumn("label", F.coalesce("label", "node"))
+        rows = rows.withColumn("apart", F.col("alone") | F.col("c_label").isNull() | (F.col("label") != F.col("c_label")))
+        some = rows.where("apart").select("sig").distinct()
+        known = common.materialize(attached(rows, some, ["sig"], "node").drop("c_node", "c_label"), "known")
+        ratio = math.log(self.den / self.num) + 1e-6
+        known = known.withColumn("block", F.floor(F.log("n") / ratio).cast("int")).withColumn("tasks", (F.col("members") / HOT).cast("int") + 1)
+        # sure bounds: of a pair's smaller set, and of its larger one against the least size of a block
+        small = known.where(f"cast(n - miss as bigint) * {self.num + self.den} >= 2 * cast(n as bigint) * {self.num}")
+        large = known.withColumn("block", F.explode(F.array("block", F.col("block") - 1))).where(f"(n - miss) * {self.num + self.den} * 1.000001 >= (n + exp(block * {ratio!r})) * {self.num}")
+        dealt = lambda rows: rows.withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int"))
+        copied = lambda rows: rows.withColumn("task", F.explode(F.expr("sequence(0, tasks - 1)")))
+        condition = F.expr("x.sig = y.sig and x.block = y.block and x.task = y.task and (x.n > y.n or x.n = y.n and x.node > y.node) and (x.alone <> y.alone or x.label <> y.label)") & self._may_link("x", "y")
+        one = copied(large.where("apart")).alias("x").join(dealt(small).alias("y"), condition)
+        two = dealt(large.where("not apart")).alias("x").join(copied(small.where("apart")).alias("y"), condition)
+        return one.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).unionAll(two.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))).distinct()
+
     def membership(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
         _, joined = self.links()
-        named = self.classes.join(joined, F.col("rep") == F.col("node"), "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component"))
-        out = self.sets.join(named, ["a", "b", "n"], "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        named = self.classes.join(joined, F.col("cid") == F.col("node"), "left").select("a", "b", "n", "rep", F.coalesce("component", "cid").alias("component"))
+        least = named.groupBy("component").agg(F.min("rep").alias("least"))
+        named = attached(named.drop("rep"), least, ["component"], "a").drop("component")
+        out = attached(self.sets, named, ["a", "b", "n"], "doc_id", "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,19 +173,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def score(docs: DataFrame, model: QualityModel | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """The columns ``keep`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on)."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    inner = docs.select(*[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)], F.col(text).alias("whole_text"))
-    out = inner.drop("whole_text").schema.add("score", "double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            stats = _stats_of(common.texts_of(batch["whole_text"]))
-            yield batch.drop(columns="whole_text").assign(score=shared.value.score(stats) if shared.value else np.full(len(batch), 0.5))
+    def results(texts: list[str | None]) -> list[pa.Array]:
+        stats = _stats_of(common.texts_of(texts))
+        return [pa.array(shared.value.score(stats) if shared.value else np.full(len(texts), 0.5))]
 
-    scored = inner.mapInPandas(common.tidied(run), out)
-    return scored.select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = common.with_results(docs, text, [c for c in keep if c != "predicted"], {"score": "double"}, lambda: results)
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

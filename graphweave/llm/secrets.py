@@ -19,8 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphweave.llm import common
 
@@ -43,7 +45,7 @@ SAMPLE_DOCS = 20_000
 GENERATED = 2_000
 SYMBOLS = np.full(256, len(VALUE), np.uint8)
 SYMBOLS[np.frombuffer(VALUE, np.uint8)] = np.arange(len(VALUE))
-SPANS = "array<struct<kind:string,start:int,end:int>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def runs(data: bytes, members: bytes, least: int) -> list[tuple[int, int]]:
@@ -167,28 +169,15 @@ def train(samples: list[tuple[str, int]]) -> MarkovPair:
 
 def scan(docs: DataFrame, models: MarkovPair, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redact: str | None = None) -> DataFrame:
     """The columns ``keep`` with ``spans``; with ``redact``, also ``redacted``: the text with that in place of each span."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(models)
-    inner = docs.select(*[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)], F.col(text).alias("whole_text"))
-    out = inner.drop("whole_text").schema.add("spans", "string")
-    if redact is not None:
-        out = out.add("redacted", "string")
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = find(common.texts_of(batch["whole_text"]), shared.value)
-            more = {"spans": [",".join(f"{k}:{s}:{e}" for k, s, e in x) for x in found]}
-            if redact is not None:
-                more["redacted"] = [_replaced(t, x, redact) for t, x in zip(batch["whole_text"], found)]
-            yield batch.drop(columns="whole_text").assign(**more)
-
-    scanned = inner.mapInPandas(common.tidied(run), out)
-    return scanned.select(
-        *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)],
-        F.expr("transform(filter(split(spans, ','), x -> x != ''), x -> named_struct('kind', split(x, ':')[0], 'start', cast(split(x, ':')[1] as int), 'end', cast(split(x, ':')[2] as int)))").alias("spans"),
-        *(["redacted"] if redact is not None else []),
-    )
+    def results(texts: list[str | None]) -> list[pa.Array]:
+        found = find(common.texts_of(texts), shared.value)
+        own = [pa.array([[dict(zip(("kind", "start", "end"), span)) for span in x] for x in found], kind)]
+        return own if redact is None else [*own, pa.array([_replaced(t, x, redact) for t, x in zip(texts, found)], pa.string())]
+
+    return common.with_results(docs, text, keep, {"spans": SPANS} | ({} if redact is None else {"redacted": "string"}), lambda: results)
 
 
 def _replaced(text: str | None, spans: list[tuple[str, int, int]], mark: str) -> str | None:

@@ -73,9 +73,14 @@ def corpus(seed):
     return list(enumerate(rows, 10))
 
 
-@pytest.mark.parametrize("seed, width, num", [(1, 3, 90), (2, 5, 80), (3, 2, 60)])
-def test_join_equals_all_pairs(spark, docs_of, seed, width, num):
-    rows = corpus(seed)
+@pytest.mark.parametrize("seed, width, num, without_id", [(1, 3, 90, 0.3), (2, 5, 80, 0), (3, 2, 60, 0.5), (5, 1, 30, 0), (6, 2, 45, 0.2)])
+def test_join_equals_all_pairs(spark, docs_of, monkeypatch, seed, width, num, without_id):
+    """Rows without an id link others all the same; entries are split where they have more than a few members."""
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    monkeypatch.setattr(ngram_join, "SALTS", 3)
+    monkeypatch.setattr(ngram_join, "SEEN", 10)
+    rng = random.Random(seed)
+    rows = [(None if rng.random() < without_id else i + 2**60, t) for i, t in corpus(seed)]
     found = ngram_join.JaccardJoin(docs_of(*rows), width, num, 100).membership().collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == slow_groups(rows, width, num)
 
@@ -98,12 +103,14 @@ def test_join_with_frequent_tokens(spark, docs_of, monkeypatch):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(1, 400), st.sampled_from([(90, 100), (80, 100), (60, 100)]), st.integers(0, 10**6))
-def test_similar_sets_share_an_entry(size, threshold, seed):
+@given(st.integers(1, 400), st.sampled_from([(90, 100), (80, 100), (60, 100), (45, 100), (30, 100), (20, 100)]), st.integers(0, 10**6), st.booleans())
+def test_similar_sets_share_an_entry(size, threshold, seed, all_frequent):
     rng = np.random.default_rng(seed)
     num, den = threshold
     counters = rng.integers(0, 400, 1 << 10)
     signatures = ngram_join.Signatures(counters, num, den)
+    if all_frequent:
+        signatures.frequent = -1
     x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
     kept = x[rng.random(len(x)) > rng.random() * (1 - num / den)]
     y = np.unique(np.concatenate([kept, rng.integers(0, 2**63, rng.integers(0, max(1, size // 8) + 1)).astype(np.uint64)]))
@@ -128,6 +135,32 @@ def test_shingle_sets_of_odd_texts():
     assert shingles.identity(found[1]) != shingles.identity(found[2])
 
 
+def test_a_row_without_id_bridges(spark, docs_of):
+    """Neighbours of three are similar, the outer two aren't; the one between has no id."""
+    words = [f"w{k}" for k in range(62)]
+    texts = [" ".join(words), " ".join(words[:58] + ["x"]), " ".join(words[:55] + ["y"])]
+    sets = [set_of(t, 3) for t in texts]
+    near = [len(a & b) / len(a | b) for a, b in zip(sets, [sets[1], sets[2], sets[0]])]
+    assert min(near[:2]) >= 0.9 > near[2]
+    found = ngram_join.JaccardJoin(docs_of((1, texts[0]), (None, texts[1]), (3, texts[2])), 3, 90, 100).membership().collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in found) == [(0, 1), (1, 1), (3, 1)]
+
+
+def test_join_query(spark, docs_of, sf_path):
+    """The query's own width and threshold, over a table with a column named as one of its own."""
+    rows = corpus(7)
+    found = ngram_join.op2_ngram_jaccard_join(spark, sf_path(documents=docs_of(*rows).withColumnRenamed("source", "component_id"))).collect()
+    assert found[0].asDict().keys() == {"doc_id", "n_shingles", "component_id"}
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == slow_groups(rows, 3, 90)
+
+
+def test_filter_loses_no_key(spark):
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), *np.random.default_rng(4).integers(-(2**62), 2**62, 3000).tolist()]
+    found = ngram_join.BitFilter.of(spark.createDataFrame([(k,) for k in keys], "key bigint"))
+    assert found.passes(np.array(keys)).all()
+    assert found.passes(np.random.default_rng(1).integers(-(2**62), 2**62, 10_000)).mean() < 0.2
+
+
 def test_join_edge_tables(spark, docs_of):
     assert ngram_join.JaccardJoin(docs_of().limit(0)).membership().count() == 0
     same = docs_of((3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, None)).withColumnRenamed("source", "component_id")
