@@ -228,16 +228,50 @@ class JaccardJoin:
 
         return self.docs.select("text").mapInPandas(common.tidied(index), "sig bigint, node bigint, n int, miss int")
 
-    def _only(self, index: DataFrame, several: DataFrame) -> DataFrame:
-        """The entries whose ``sig`` may be in ``several``: few of the others pass the filter, and none of those is lost."""
+    @property
+    def _ratio(self) -> float:
+        """Sizes are dealt to blocks of this ratio (its logarithm): of a similar pair the larger set is in the smaller one's block or the next."""
+        return math.log(self.den / self.num) + 1e-6
+
+    def _cells(self, index: DataFrame, several: DataFrame) -> DataFrame:
+        """The entries that may be in ``several``, by blocks of sizes: (sig, node, n, miss, place, own), where ``sig`` stands for entry and block.
+
+        A member is in its own block's cell, and in that below for the smaller sets there. What has
+        missed too much for any set of a cell stays away.
+        """
+        wanted, ratio, num, den = self.spark.sparkContext.broadcast(BitFilter.of(several.select("sig"))), self._ratio, self.num, self.den
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(pa.array(wanted.value.passes(batch.column("sig").to_numpy())))
+                sig, node, n, miss, place = (batch.column(k).to_numpy() for k in range(5))
+                block = np.floor(np.log(n) / ratio)
+                for own in (True, False):
+                    at = block if own else block - 1
+                    kept = (n - miss) * (num + den) * (1 + 1e-6) >= num * (n + np.exp(at * ratio))
+                    cell = mix(sig[kept].view(np.uint64) + at[kept].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, node[kept], n[kept], miss[kept], place[kept], np.full(len(cell), own))], names=[*batch.schema.names, "own"])
+
+        narrow = index.select("sig", "node", "n", "miss", "place")
+        return narrow.mapInArrow(common.tidied(cells), "sig bigint, node bigint, n int, miss int, place bigint, own boolean")
+
+    def _only(self, rows: DataFrame, several: DataFrame) -> DataFrame:
+        """The rows whose ``sig`` may be in ``several``: few of the others pass the filter, and none of those is lost."""
         wanted = self.spark.sparkContext.broadcast(BitFilter.of(several.select("sig")))
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array(wanted.value.passes(batch.column("sig").to_numpy())))
 
-        narrow = index.select("sig", "node", "n", "miss", "place")
-        return narrow.mapInArrow(common.tidied(keep), narrow.schema)
+        return rows.mapInArrow(common.tidied(keep), rows.schema)
+
+    def _several(self, rows: DataFrame, centre: Column) -> DataFrame:
+        """(sig, centre, members) of what several rows have in common, unless they are two whose bounds are known to leave no room."""
+        bounds = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR((F.col("n") - F.col("miss")).cast("bigint"))
+        met = rows.withColumn("bounds", bounds).groupBy("sig").agg(F.min(centre).alias("centre"), F.min("place").alias("first"), F.max("place").alias("last"), F.min("bounds").alias("low"), F.max("bounds").alias("high"), F.count("*").alias("members"))
+        sizes, rest = ([F.shiftright(c, 32) for c in ("low", "high")], [F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("low", "high")])
+        may = (sizes[0] * self.den >= sizes[1] * self.num) & (F.least(*rest) * (self.num + self.den) >= (sizes[0] + sizes[1]) * self.num)
+        return met.where("first < last and centre is not null").where((F.col("members") > 2) | may).select("sig", "centre", "members")
 
     def _may_link(self, x: str, y: str) -> Column:
         """Sizes and missed tokens leave room for the similarity."""
@@ -297,18 +331,15 @@ class JaccardJoin:
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links (u, v) between classes, by number, that connect what is connected, and (node, component) of the linked classes."""
-        index = common.materialize(self.entries(), "index")
         # a member's place in its entry: fewest missed first, then by node; the first is the centre
         place = F.shiftleft(F.least("miss", F.lit(32767)).cast("bigint"), 48).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 48) - 1)))
-        index = index.withColumn("place", place).withColumn("bounds", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR((F.col("n") - F.col("miss")).cast("bigint")))
-        several = index.groupBy("sig").agg(F.min("place").alias("centre"), F.max("place").alias("last"), F.min("bounds").alias("low"), F.max("bounds").alias("high"), F.count("*").alias("members")).where("centre < last")
-        # where just two met, their bounds are known here already
-        sizes, rest = ([F.shiftright(c, 32) for c in ("low", "high")], [F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("low", "high")])
-        may = (sizes[0] * self.den >= sizes[1] * self.num) & (F.least(*rest) * (self.num + self.den) >= (sizes[0] + sizes[1]) * self.num)
-        several = common.materialize(several.where((F.col("members") > 2) | may).select("sig", "centre", "members"), "several")
+        index = common.materialize(self.entries(), "index").withColumn("place", place)
+        several = common.materialize(self._several(index, F.col("place")).select("sig"), "several")
         with common.batches_of(self.spark, 50_000):
-            found = common.materialize(self._only(index, several), "found")
-        centres = found.join(several, (found["sig"] == several["sig"]) & (found["place"] == several["centre"]))
+            cells = common.materialize(self._cells(index, several), "cells")
+            several = common.materialize(self._several(cells, F.when(F.col("own"), F.col("place"))), "several-cells")
+            found = common.materialize(self._only(cells, several), "found")
+        centres = found.join(several, (found["sig"] == several["sig"]) & (found["place"] == several["centre"]) & found["own"])
         centres = centres.select(found["sig"], F.col("node").alias("c_node"), F.col("n").alias("c_n"), F.col("miss").alias("c_miss"), "members").distinct()
         met = common.materialize(attached(found, centres, ["sig"], "node").where("node <> c_node").drop("place").distinct(), "met")
         may_link = f"least(n, c_n) * {self.den} >= greatest(n, c_n) * {self.num} and cast(least(n - miss, c_n - c_miss) as bigint) * {self.num + self.den} >= cast(n + c_n as bigint) * {self.num}"
@@ -322,12 +353,12 @@ class JaccardJoin:
     def _apart(self, met: DataFrame, joined: DataFrame) -> DataFrame:
         """Pairs (x, y) of members of one entry that are in different components, as far as sizes and missed tokens leave room.
 
-        A member that hangs together with the entry's centre meets only those that don't. Members
-        meet in blocks of sizes: the larger of a pair (by size, then node) looks for smaller ones in
-        its own block and the one below, where ``den / num`` (and a little more) is the blocks' ratio.
+        A member that hangs together with the cell's centre meets only those that don't. The smaller of
+        a pair is in its own block's cell. Cells with more than ``HOT`` members are split: those that
+        are apart go to each task, the others to one.
         """
         labels = self.classes.join(joined, F.col("cid") == F.col("node")).groupBy("a").agg(F.min("component").alias("label"))
-        rows = met.where("members > 2").select("sig", "node", "n", "miss", "c_node", "members")
+        rows = met.where("members > 2").select("sig", "node", "n", "miss", "own", "c_node", "members")
         rows = rows.join(labels.withColumnRenamed("a", "node"), "node", "left")
         rows = attached(rows, labels.select(F.col("a").alias("c_node"), F.col("label").alias("c_label")), ["c_node"], "node", "left")
         # a class in no component stands for itself
@@ -335,16 +366,13 @@ class JaccardJoin:
         rows = rows.withColumn("apart", F.col("alone") | F.col("c_label").isNull() | (F.col("label") != F.col("c_label")))
         some = rows.where("apart").select("sig").distinct()
         known = common.materialize(attached(rows, some, ["sig"], "node").drop("c_node", "c_label"), "known")
-        ratio = math.log(self.den / self.num) + 1e-6
-        known = known.withColumn("block", F.floor(F.log("n") / ratio).cast("int")).withColumn("tasks", (F.col("members") / HOT).cast("int") + 1)
-        # sure bounds: of a pair's smaller set, and of its larger one against the least size of a block
-        small = known.where(f"cast(n - miss as bigint) * {self.num + self.den} >= 2 * cast(n as bigint) * {self.num}")
-        large = known.withColumn("block", F.explode(F.array("block", F.col("block") - 1))).where(f"(n - miss) * {self.num + self.den} * 1.000001 >= (n + exp(block * {ratio!r})) * {self.num}")
+        known = known.withColumn("tasks", (F.col("members") / HOT).cast("int") + 1)
+        small = known.where(f"own and cast(n - miss as bigint) * {self.num + self.den} >= 2 * cast(n as bigint) * {self.num}")
         dealt = lambda rows: rows.withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int"))
-        copied = lambda rows: rows.withColumn("task", F.explode(F.expr("sequence(0, tasks - 1)")))
-        condition = F.expr("x.sig = y.sig and x.block = y.block and x.task = y.task and (x.n > y.n or x.n = y.n and x.node > y.node) and (x.alone <> y.alone or x.label <> y.label)") & self._may_link("x", "y")
-        one = copied(large.where("apart")).alias("x").join(dealt(small).alias("y"), condition)
-        two = dealt(large.where("not apart")).alias("x").join(copied(small.where("apart")).alias("y"), condition)
+        copied = lambda rows: rows.where("tasks = 1").withColumn("task", F.lit(0)).unionAll(rows.where("tasks > 1").withColumn("task", F.explode(F.expr("sequence(0, tasks - 1)"))))
+        condition = F.expr("x.sig = y.sig and x.task = y.task and (x.n > y.n or x.n = y.n and x.node > y.node) and (x.alone <> y.alone or x.label <> y.label)") & self._may_link("x", "y")
+        one = copied(known.where("apart")).alias("x").join(dealt(small).alias("y"), condition)
+        two = dealt(known.where("not apart")).alias("x").join(copied(small.where("apart")).alias("y"), condition)
         return one.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).unionAll(two.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))).distinct()
 
     def membership(self) -> DataFrame:
