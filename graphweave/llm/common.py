@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from contextlib import contextmanager, suppress
+from contextlib import AbstractContextManager, contextmanager, suppress
 from pathlib import Path
 
 import numpy as np
@@ -39,11 +39,33 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is computed within."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder and reads it back."""
+    """Cuts the lineage: writes ``df`` to the shared folder and reads it back. The write's shuffle files go when it has ended."""
     spark, path = df.sparkSession, work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.work_path = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes work tables of ``materialize`` that nothing will read again; those that a result reads stay until the cluster's shared folder is cleaned."""
+    for table in tables:
+        jvm, path = table.sparkSession._jvm, table.work_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 _shipped: set[str] = set()
@@ -76,16 +98,9 @@ def bounded_batches(spark: SparkSession, size: int = BYTES_PER_BATCH) -> None:
         spark.conf.set(key, str(size))
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+def batches_of(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
     """Larger Arrow batches for what is computed within, where rows are a few numbers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def joined(batches: Iterable[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:

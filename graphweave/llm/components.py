@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
     stars = common.materialize(edges.select("u", "v").distinct(), "edges")
     before = None
     while True:
-        stars = common.materialize(_small_star(_large_star(stars)), "stars")
+        last, stars = stars, common.materialize(_small_star(_large_star(stars)), "stars")
+        common.discard(last)
         state = stars.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % 1_000_000_007).cast("bigint")).alias("h")).first()
         if (state["n"], state["h"]) == before:
             break

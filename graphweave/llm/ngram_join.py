@@ -265,13 +265,18 @@ class JaccardJoin:
 
         return rows.mapInArrow(common.tidied(keep), rows.schema)
 
-    def _several(self, rows: DataFrame, centre: Column) -> DataFrame:
-        """(sig, centre, members) of what several rows have in common, unless they are two whose bounds are known to leave no room."""
+    def _several(self, rows: DataFrame, centre: Column | None = None) -> DataFrame:
+        """What several rows have in common, unless they are two whose bounds leave no room: ``sig``, and with ``centre`` (rows' places, or nulls) the least of these, and the number of members.
+
+        Without ``centre`` the rows can be copies of one; with it they are different nodes.
+        """
         bounds = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR((F.col("n") - F.col("miss")).cast("bigint"))
-        met = rows.withColumn("bounds", bounds).groupBy("sig").agg(F.min(centre).alias("centre"), F.min("place").alias("first"), F.max("place").alias("last"), F.min("bounds").alias("low"), F.max("bounds").alias("high"), F.count("*").alias("members"))
+        places = [F.min(centre).alias("centre"), F.min("place").alias("first"), F.max("place").alias("last")] if centre is not None else []
+        met = rows.withColumn("bounds", bounds).groupBy("sig").agg(*places, F.min("bounds").alias("low"), F.max("bounds").alias("high"), F.count("*").alias("members"))
         sizes, rest = ([F.shiftright(c, 32) for c in ("low", "high")], [F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("low", "high")])
         may = (sizes[0] * self.den >= sizes[1] * self.num) & (F.least(*rest) * (self.num + self.den) >= (sizes[0] + sizes[1]) * self.num)
-        return met.where("first < last and centre is not null").where((F.col("members") > 2) | may).select("sig", "centre", "members")
+        met = met.where("first < last and centre is not null") if places else met.where("members > 1")
+        return met.where((F.col("members") > 2) | may).select("sig", *["centre", "members"][: len(places)])
 
     def _may_link(self, x: str, y: str) -> Column:
         """Sizes and missed tokens leave room for the similarity."""
@@ -280,8 +285,8 @@ class JaccardJoin:
             f" and cast(least({x}.n - {x}.miss, {y}.n - {y}.miss) as bigint) * {self.num + self.den} >= cast({x}.n + {y}.n as bigint) * {self.num}"
         )
 
-    def _near(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (x, y) of nodes whose parity bitmaps leave room for the similarity."""
+    def _near(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Those of the pairs (x, y) of nodes whose parity bitmaps leave room for the similarity; and the work table that they come from."""
         sides = [self.planes.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"), F.array(*[f"p{k}" for k in range(PARITY_WORDS)]).alias(f"p_{c}")) for c in "xy"]
         differ = " + ".join(f"bit_count(p_x[{k}] ^ p_y[{k}])" for k in range(PARITY_WORDS))
         # shared tokens are at most (n_x + n_y - differ) / 2
@@ -292,7 +297,7 @@ class JaccardJoin:
         wide = [self.wide.select(F.col("a").alias(c), F.col("wide").alias(f"wide_{c}")) for c in "xy"]
         differ = "aggregate(zip_with(wide_x, wide_y, (p, q) -> bit_count(p ^ q)), 0, (t, p) -> t + p)"
         large = attached(attached(large, wide[0], ["x"], "y"), wide[1], ["y"], "x").where(room(differ))
-        return kept.where(f"n_x < {WIDE_FROM} or n_y < {WIDE_FROM}").select("x", "y").unionAll(large.select("x", "y")).distinct()
+        return kept.where(f"n_x < {WIDE_FROM} or n_y < {WIDE_FROM}").select("x", "y").unionAll(large.select("x", "y")).distinct(), kept
 
     def _sets_of(self, nodes: DataFrame) -> DataFrame:
         """(a, b, tokens) of the classes whose node is in ``nodes``, and a few others: a filter on their least ids spares the rest the work."""
@@ -319,39 +324,49 @@ class JaccardJoin:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Links (u, v: numbers of classes, u < v) among the pairs (x, y) of nodes; ``y`` may be in very many of them."""
-        pairs = common.materialize(self._near(pairs), "pairs")
+        near = self._near(pairs)
+        pairs = common.materialize(near[0], "pairs")
+        common.discard(near[1])
         nodes = pairs.select(F.col("x").alias("node")).unionAll(pairs.select(F.col("y").alias("node"))).distinct()
-        sets = self._sets_of(nodes).join(self.classes.select("a", "b", "cid"), ["a", "b"])
+        tokens = self._sets_of(nodes)
+        sets = tokens.join(self.classes.select("a", "b", "cid"), ["a", "b"])
         left, right = (sets.select(F.col("a").alias(c), F.col("cid").alias(f"c_{c}"), F.col("tokens").alias(f"tokens_{c}")) for c in "xy")
         shared, both = "size(array_intersect(tokens_x, tokens_y))", "(size(tokens_x) + size(tokens_y))"
         # x's tokens move with each pair, y's once for each task that has pairs of y
         compared = attached(pairs.join(left, "x"), right, ["y"], "x")
         linked = compared.where(f"cast({shared} as bigint) * {self.num + self.den} >= cast({both} as bigint) * {self.num}")
-        return common.materialize(linked.select(F.least("c_x", "c_y").alias("u"), F.greatest("c_x", "c_y").alias("v")).where("u < v").distinct(), "links")
+        links = common.materialize(linked.select(F.least("c_x", "c_y").alias("u"), F.greatest("c_x", "c_y").alias("v")).where("u < v").distinct(), "links")
+        common.discard(pairs, tokens)
+        return links
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links (u, v) between classes, by number, that connect what is connected, and (node, component) of the linked classes."""
         # a member's place in its entry: fewest missed first, then by node; the first is the centre
         place = F.shiftleft(F.least("miss", F.lit(32767)).cast("bigint"), 48).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 48) - 1)))
-        index = common.materialize(self.entries(), "index").withColumn("place", place)
-        several = common.materialize(self._several(index, F.col("place")).select("sig"), "several")
+        index = common.materialize(self.entries(), "index")
+        several = common.materialize(self._several(index), "several")
         with common.batches_of(self.spark, 50_000):
-            cells = common.materialize(self._cells(index, several), "cells")
+            cells = common.materialize(self._cells(index.withColumn("place", place), several), "cells")
+            common.discard(index, several)
             several = common.materialize(self._several(cells, F.when(F.col("own"), F.col("place"))), "several-cells")
             found = common.materialize(self._only(cells, several), "found")
+            common.discard(cells)
         centres = found.join(several, (found["sig"] == several["sig"]) & (found["place"] == several["centre"]) & found["own"])
         centres = centres.select(found["sig"], F.col("node").alias("c_node"), F.col("n").alias("c_n"), F.col("miss").alias("c_miss"), "members").distinct()
         met = common.materialize(attached(found, centres, ["sig"], "node").where("node <> c_node").drop("place").distinct(), "met")
+        common.discard(found, several)
         may_link = f"least(n, c_n) * {self.den} >= greatest(n, c_n) * {self.num} and cast(least(n - miss, c_n - c_miss) as bigint) * {self.num + self.den} >= cast(n + c_n as bigint) * {self.num}"
         links = self._verified(met.where(may_link).select(F.col("node").alias("x"), F.col("c_node").alias("y")).distinct())
         joined = components(links)
-        more = self._verified(self._apart(met, joined))
+        rest, known = self._apart(met, joined)
+        more = self._verified(rest)
+        common.discard(met, known)
         if more.isEmpty():
             return links, joined
         return links.unionAll(more), components(links.unionAll(more))
 
-    def _apart(self, met: DataFrame, joined: DataFrame) -> DataFrame:
-        """Pairs (x, y) of members of one entry that are in different components, as far as sizes and missed tokens leave room.
+    def _apart(self, met: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (x, y) of members of one entry that are in different components, as far as sizes and missed tokens leave room; and the work table that they come from.
 
         A member that hangs together with the cell's centre meets only those that don't. The smaller of
         a pair is in its own block's cell. Cells with more than ``HOT`` members are split: those that
@@ -365,15 +380,15 @@ class JaccardJoin:
         rows = rows.withColumn("alone", F.col("label").isNull()).withColumn("label", F.coalesce("label", "node"))
         rows = rows.withColumn("apart", F.col("alone") | F.col("c_label").isNull() | (F.col("label") != F.col("c_label")))
         some = rows.where("apart").select("sig").distinct()
-        known = common.materialize(attached(rows, some, ["sig"], "node").drop("c_node", "c_label"), "known")
-        known = known.withColumn("tasks", (F.col("members") / HOT).cast("int") + 1)
+        table = common.materialize(attached(rows, some, ["sig"], "node").drop("c_node", "c_label"), "known")
+        known = table.withColumn("tasks", (F.col("members") / HOT).cast("int") + 1)
         small = known.where(f"own and cast(n - miss as bigint) * {self.num + self.den} >= 2 * cast(n as bigint) * {self.num}")
         dealt = lambda rows: rows.withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int"))
         copied = lambda rows: rows.where("tasks = 1").withColumn("task", F.lit(0)).unionAll(rows.where("tasks > 1").withColumn("task", F.explode(F.expr("sequence(0, tasks - 1)"))))
         condition = F.expr("x.sig = y.sig and x.task = y.task and (x.n > y.n or x.n = y.n and x.node > y.node) and (x.alone <> y.alone or x.label <> y.label)") & self._may_link("x", "y")
         one = copied(known.where("apart")).alias("x").join(dealt(small).alias("y"), condition)
         two = dealt(known.where("not apart")).alias("x").join(copied(small.where("apart")).alias("y"), condition)
-        return one.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).unionAll(two.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))).distinct()
+        return one.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).unionAll(two.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))).distinct(), table
 
     def membership(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
