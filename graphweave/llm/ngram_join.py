@@ -116,10 +116,18 @@ def parity(tokens: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
     return np.packbits((np.bincount(buckets, minlength=64 * words) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _place(key: np.ndarray, bits: int) -> np.ndarray:
-    """Where a key's flag stands; ``BitFilter.of`` says the same in Spark's terms."""
-    key = key.astype(np.int64).view(np.uint64)
-    return ((key ^ (key >> np.uint64(17)) ^ (key >> np.uint64(37))) & np.uint64((1 << bits) - 1)).astype(np.int64)
+def xxhash(keys: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of a bigint column."""
+    # fixed values: the primes of the published 64-bit hash, and the seed that Spark takes
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    seed = np.uint64(42)
+    turned = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    with np.errstate(over="ignore"):
+        h = turned(keys.astype(np.int64).view(np.uint64) * p2, 31) * p1 ^ (seed + p5 + np.uint64(8))
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
 class BitFilter:
@@ -132,8 +140,7 @@ class BitFilter:
     def of(cls, keys: DataFrame) -> BitFilter:
         """Of one bigint column without nulls; summed by word before anything moves, and collected as one number a word."""
         bits = min(max(LEAST_FILTER_BITS, (8 * keys.count()).bit_length()), MOST_FILTER_BITS)
-        key = F.col("key")
-        place = key.bitwiseXOR(F.shiftrightunsigned(key, 17)).bitwiseXOR(F.shiftrightunsigned(key, 37)).bitwiseAND(F.lit((1 << bits) - 1))
+        place = F.xxhash64("key").bitwiseAND(F.lit((1 << bits) - 1))
         flags = keys.toDF("key").select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("flag"))
         got = flags.groupBy("word").agg(F.bit_or("flag").alias("flags")).toArrow()
         words = np.zeros(1 << (bits - 6), np.int64)
@@ -141,7 +148,7 @@ class BitFilter:
         return cls(bits, words)
 
     def passes(self, keys: np.ndarray) -> np.ndarray:
-        place = _place(keys, self.bits)
+        place = xxhash(keys) & ((1 << self.bits) - 1)
         return (self.words[place >> 6] >> (place & 63)) & 1 == 1
 
 

@@ -158,6 +158,9 @@ def test_filter_loses_no_key(spark):
     keys = [0, 1, -1, 2**63 - 1, -(2**63), *np.random.default_rng(4).integers(-(2**62), 2**62, 3000).tolist()]
     found = ngram_join.BitFilter.of(spark.createDataFrame([(k,) for k in keys], "key bigint"))
     assert found.passes(np.array(keys)).all()
+    for spread in (1, 1 << 20, 1 << 33, 10**9):  # ids with a step let as few others pass
+        own = ngram_join.BitFilter.of(spark.range(0, 3000 * spread, spread).toDF("key"))
+        assert own.passes(np.arange(3000) * spread).all() and own.passes(np.arange(3000, 13000) * spread).mean() < 0.2
     assert found.passes(np.random.default_rng(1).integers(-(2**62), 2**62, 10_000)).mean() < 0.2
 
 
