@@ -28,9 +28,9 @@ OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Texts that need more care than parting at single blanks and line ends: other white space, NUL, blanks in a row or at an end.
 UNUSUAL = r"^$|^[ \n]|[ \n]\z|[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Bound on the chunks that an encoder remembers; when it is reached, those met once are forgotten.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Texts are taken apart in blocks of about so many bytes: the larger, the fewer distinct chunks each byte has.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Of ASCII, but for the apostrophe, which the patterns keep with some letters.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 Flat = tuple[np.ndarray, np.ndarray]  # ids one after another, and how many belong to each

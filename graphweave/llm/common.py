@@ -103,7 +103,7 @@ def batches_of(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
     return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def joined(batches: Iterable[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def joined(batches: Iterable[pa.RecordBatch], size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive batches put together to about ``size`` bytes; a batch that is larger comes alone."""
     held: list[pa.RecordBatch] = []
     total = 0

@@ -298,12 +298,12 @@ class JaccardJoin:
         differ = " + ".join(f"bit_count(p_x[{k}] ^ p_y[{k}])" for k in range(PARITY_WORDS))
         # shared tokens are at most (n_x + n_y - differ) / 2
         room = lambda d: f"(n_x + n_y - ({d})) * {self.num + self.den} >= 2 * (n_x + n_y) * {self.num}"
-        known = attached(attached(pairs, sides[0], ["x"], "y"), sides[1], ["y"], "x")
+        known = attached(pairs.join(sides[0], "x"), sides[1], ["y"], "x")
         kept = common.materialize(known.where(room(differ)).select("x", "y", "n_x", "n_y").distinct(), "near")
         large = kept.where(f"n_x >= {WIDE_FROM} and n_y >= {WIDE_FROM}").select("x", "y", "n_x", "n_y")
         wide = [self.wide.select(F.col("a").alias(c), F.col("wide").alias(f"wide_{c}")) for c in "xy"]
         differ = "aggregate(zip_with(wide_x, wide_y, (p, q) -> bit_count(p ^ q)), 0, (t, p) -> t + p)"
-        large = attached(attached(large, wide[0], ["x"], "y"), wide[1], ["y"], "x").where(room(differ))
+        large = attached(large.join(wide[0], "x"), wide[1], ["y"], "x").where(room(differ))
         return kept.where(f"n_x < {WIDE_FROM} or n_y < {WIDE_FROM}").select("x", "y").unionAll(large.select("x", "y")).distinct(), kept
 
     def _sets_of(self, nodes: DataFrame) -> DataFrame:
@@ -386,8 +386,7 @@ class JaccardJoin:
         # a class in no component stands for itself
         rows = rows.withColumn("alone", F.col("label").isNull()).withColumn("label", F.coalesce("label", "node"))
         rows = rows.withColumn("apart", F.col("alone") | F.col("c_label").isNull() | (F.col("label") != F.col("c_label")))
-        some = rows.where("apart").select("sig").distinct()
-        table = common.materialize(attached(rows, some, ["sig"], "node").drop("c_node", "c_label"), "known")
+        table = common.materialize(rows.drop("c_node", "c_label"), "known")
         known = table.withColumn("tasks", (F.col("members") / HOT).cast("int") + 1)
         small = known.where(f"own and cast(n - miss as bigint) * {self.num + self.den} >= 2 * cast(n as bigint) * {self.num}")
         dealt = lambda rows: rows.withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int"))
@@ -400,9 +399,10 @@ class JaccardJoin:
     def membership(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
         _, joined = self.links()
-        named = self.classes.join(joined, F.col("cid") == F.col("node"), "left").select("a", "b", "n", "rep", F.coalesce("component", "cid").alias("component"))
-        least = named.groupBy("component").agg(F.min("rep").alias("least"))
-        named = attached(named.drop("rep"), least, ["component"], "a").drop("component")
+        # only linked classes take part in the first two joins
+        own = joined.join(self.classes.select(F.col("cid").alias("node"), "rep"), "node")
+        least = own.join(own.groupBy("component").agg(F.min("rep").alias("least")), "component").select("node", "least")
+        named = self.classes.join(least, F.col("cid") == F.col("node"), "left").select("a", "b", "n", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("least")).alias("least"))
         out = attached(self.sets, named, ["a", "b", "n"], "doc_id", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
