@@ -50,9 +50,14 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder and reads it back. The write's shuffle files go when it has ended."""
+def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Cuts the lineage: writes ``df`` to the shared folder and reads it back. The write's shuffle files go when it has ended.
+
+    ``narrow`` tables, of a few numbers a row, are written in no more files than the cluster has cores.
+    """
     spark, path = df.sparkSession, work_path(df.sparkSession, label)
+    if narrow:
+        df = df.coalesce(spark.sparkContext.defaultParallelism)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
     read = spark.read.schema(df.schema).parquet(path)

@@ -26,10 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder; the number of rounds grows with the logarithm of the largest component.
     """
-    stars = common.materialize(edges.select("u", "v").distinct(), "edges")
+    stars = common.materialize(edges.select("u", "v").distinct(), "edges", narrow=True)
     before = None
     while True:
-        last, stars = stars, common.materialize(_small_star(_large_star(stars)), "stars")
+        last, stars = stars, common.materialize(_small_star(_large_star(stars)), "stars", narrow=True)
         common.discard(last)
         state = stars.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % 1_000_000_007).cast("bigint")).alias("h")).first()
         if (state["n"], state["h"]) == before:

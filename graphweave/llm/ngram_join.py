@@ -332,7 +332,7 @@ class JaccardJoin:
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Links (u, v: numbers of classes, u < v) among the pairs (x, y) of nodes; ``y`` may be in very many of them."""
         near = self._near(pairs)
-        pairs = common.materialize(near[0], "pairs")
+        pairs = common.materialize(near[0], "pairs", narrow=True)
         common.discard(near[1])
         nodes = pairs.select(F.col("x").alias("node")).unionAll(pairs.select(F.col("y").alias("node"))).distinct()
         tokens = self._sets_of(nodes)
@@ -356,7 +356,7 @@ class JaccardJoin:
             cells = common.materialize(self._cells(index.withColumn("place", place), several), "cells")
             common.discard(index, several)
             several = common.materialize(self._several(cells, F.when(F.col("own"), F.col("place"))), "several-cells")
-            found = common.materialize(self._only(cells, several), "found")
+            found = common.materialize(self._only(cells, several), "found", narrow=True)
             common.discard(cells)
         centres = found.join(several, (found["sig"] == several["sig"]) & (found["place"] == several["centre"]) & found["own"])
         centres = centres.select(found["sig"], F.col("node").alias("c_node"), F.col("n").alias("c_n"), F.col("miss").alias("c_miss"), "members").distinct()

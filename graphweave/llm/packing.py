@@ -23,7 +23,9 @@ repeated ones too; pieces of one length are interchangeable; an empty table give
 
 from __future__ import annotations
 
+import logging
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +39,7 @@ from pyspark.sql.window import Window
 
 from graphweave.llm import bpe, common
 
+log = logging.getLogger(__name__)
 CAPACITY, END_ID = 2048, 0
 NODES, FILLINGS = 6000, 8
 #: Fillings are enumerated in batches of so many steps or fillings.
@@ -97,17 +100,17 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def _maximal(lengths: list[int], free: list[int], room: int) -> Iterator[Filling | None]:
+def _maximal(lengths: array, free: array, room: int) -> Iterator[Filling | None]:
     """What fills ``room`` so that no further piece fits, larger pieces first; None for each step on the way.
 
     A step takes as many pieces of one length as fit, or one fewer than before, so a filling of a
     thousand pieces of one length is as near as one of two.
     """
-    below = [-x for x in lengths]
-    volume = [0] * (len(lengths) + 1)  # of the pieces from a length on
+    below = array("q", (-x for x in lengths))
+    volume = array("q", bytes(8 * (len(lengths) + 1)))  # of the pieces from a length on
     for k in range(len(lengths) - 1, -1, -1):
         volume[k] = volume[k + 1] + lengths[k] * free[k]
-    taken = [0] * len(lengths)
+    taken = array("q", bytes(8 * len(lengths)))
     path: list[int] = []
     k = 0
     while True:
@@ -141,9 +144,9 @@ def _maximal(lengths: list[int], free: list[int], room: int) -> Iterator[Filling
 
 def fillings(counts: dict[int, int], capacity: int) -> Iterator[Filling]:
     """Fillings around the largest length, batch after batch as they are asked for; of a batch the undominated ones, the fullest first."""
-    lengths = sorted(counts, reverse=True)
+    lengths = array("q", sorted(counts, reverse=True))  # a search holds as many of these as its path is long
     first, found, steps = lengths[0], [], 0
-    for filling in _maximal(lengths, [counts[x] - (x == first) for x in lengths], capacity - first):
+    for filling in _maximal(lengths, array("q", (counts[x] - (x == first) for x in lengths)), capacity - first):
         if filling is None:
             steps += 1
         else:
@@ -181,23 +184,26 @@ def _covers(one: Filling, other: Filling) -> bool:
 
 
 def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Solution:
-    """Fillings and how many sequences get each, for ``counts`` pieces of each length."""
+    """Fillings and how many sequences get each, for ``counts`` pieces of each length; the number of sequences and its lower bound are logged."""
     counts = {x: n for x, n in counts.items() if n}
     if not counts:
         return []
     size = lambda solution: sum(times for _, times in solution)
     best, target, total = best_fit(counts, capacity), lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
-    width, cut = FILLINGS, True
+    width, cut, left = FILLINGS, True, dict(counts)
     while cut and size(best) > target and nodes > 0:
         cut = False
-        # depth first; a node: what is left, what was chosen (a linked list), sequences used, waste, the fillings to try, and how many were tried
-        stack = [[counts, None, 0, 0, fillings(counts, capacity), 0]]
+        # depth first; ``left`` is what the path has left of the counts. A level: the filling that led there, how often it is taken,
+        # sequences used, waste, the fillings to try, and how many were tried
+        stack = [[(), 0, 0, 0, fillings(left, capacity), 0]]
         while stack and size(best) > target and nodes > 0:
-            left, chosen, used, waste, options, tried = stack[-1]
+            _, _, used, waste, options, tried = stack[-1]
             filling = next(options, None) if tried < width else None
             if filling is None:
                 cut |= tried == width
-                stack.pop()
+                last, times, *_ = stack.pop()
+                for x, k in last:
+                    left[x] = left.get(x, 0) + k * times
                 continue
             stack[-1][-1] += 1
             nodes -= 1
@@ -208,30 +214,24 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
                 times = min(times, (most - waste) // loss)
             if times <= 0:
                 continue
-            after = dict(left)
             for x, k in filling:
-                after[x] -= k * times
-                if not after[x]:
-                    del after[x]
-            own = (chosen, (filling, times))
-            if not after or nodes % INCUMBENT_EVERY == 0:
-                rest = best_fit(after, capacity)
+                left[x] -= k * times
+                if not left[x]:
+                    del left[x]
+            stack.append([filling, times, used + times, waste + loss * times, fillings(left, capacity) if left else iter(()), 0])
+            if not left or nodes % INCUMBENT_EVERY == 0:
+                rest = best_fit(left, capacity)
                 if used + times + size(rest) < size(best):
-                    best = _listed(own) + rest
-            if after:
-                stack.append([after, own, used + times, waste + loss * times, fillings(after, capacity), 0])
+                    best = [(f, t) for f, t, *_ in stack[1:]] + rest
+        while stack:
+            last, times, *_ = stack.pop()
+            for x, k in last:
+                left[x] = left.get(x, 0) + k * times
         width *= 2
+    log.info("%d sequences, lower bound %d", size(best), target)
     return best
 
 
-def _listed(chosen: tuple | None) -> Solution:
-    out = []
-    while chosen is not None:
-        chosen, last = chosen
-        out.append(last)
-    return out[::-1]
-
-
 def places(solution: Solution) -> dict[int, np.ndarray]:
     """For each length rows (first rank, first sequence, how many in a sequence, offset of the first)."""
     found: dict[int, list[tuple[int, int, int, int]]] = {}
