@@ -67,10 +67,17 @@ class Response:
     plan: Plan | None = None
     omitted: set[tuple[str, ...]] = field(default_factory=set)
     failed: set[str] = field(default_factory=set)
+    reported: list[tuple[Callable[[], list[ErrorRow]], str, tuple[str, ...]]] = field(default_factory=list)
+
+    @property
+    def all_errors(self) -> list[ErrorRow]:
+        """Those of planning and those that remote sources have met while what was computed so far was computed."""
+        met = [ErrorRow(e.message, (*path, *e.path), {"serviceName": source} | e.extensions) for rows, source, path in self.reported for e in rows()]
+        return [*self.error_rows, *sorted(met, key=lambda e: (e.path, e.message))]
 
     @property
     def errors(self) -> DataFrame:
-        return error_frame(self.spark, self.error_rows)
+        return error_frame(self.spark, self.all_errors)
 
     def __getitem__(self, key: str) -> DataFrame:
         if self.data is None:
@@ -87,8 +94,8 @@ class Response:
                 rows = [] if node.key in self.failed else [r.asDict(recursive=True) for r in self.data[node.key].collect()]
                 values = [self._shown(r, node) if node.is_object else r[node.key] for r in rows]
                 out["data"][node.key] = values if node.is_list and node.key not in self.failed else (values[0] if values else None)
-        if self.error_rows:
-            out["errors"] = [{"message": r.message, "path": list(r.path), "extensions": r.extensions} for r in self.error_rows]
+        if errors := self.all_errors:
+            out["errors"] = [{"message": r.message, "path": list(r.path), "extensions": r.extensions} for r in errors]
         return out
 
     def _shown(self, value: Any, node: Node) -> Any:
@@ -150,7 +157,7 @@ class Gateway:
                     data[root.node.key] = pin(frame) if plan.kind == "mutation" else frame
                 if any(not e.path for e in low.errors[before:]):
                     failed.add(root.node.key)
-            return Response(self.spark, data, low.errors, plan, low.omitted, failed)
+            return Response(self.spark, data, low.errors, plan, low.omitted, failed, low.reported)
         except GraphError as e:
             return Response(self.spark, None, e.rows)
         finally:

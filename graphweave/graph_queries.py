@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphweave import testgraph
 from graphweave.gateway import Gateway
+from graphweave.sources import remote
 from graphweave.sources.binding import Root, SourceBinding, TypeBinding
 from graphweave.streaming.subscription import subscribe
 
@@ -234,6 +239,45 @@ def _subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(f"{at}/rows")
 
 
+class _Ratings(BaseHTTPRequestHandler):
+    """A small remote service: ratings of regions, with an error beside the data of one; the root field answers likewise."""
+
+    SDL = 'extend type Region @key(fields: "regionKey") { regionKey: ID! @external rating: Int } type Score { value: Int } type Query { scores: [Score!]! }'
+
+    def do_POST(self) -> None:
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        if "_entities" in asked["query"]:
+            keys = [r["regionKey"] for r in asked["variables"]["representations"]]
+            found = {"data": {"_entities": [{"rating": None if k == 2 else k * 10} for k in keys]}}
+            found["errors"] = [{"message": "region 2 is not rated", "path": ["_entities", n, "rating"], "extensions": {"code": "UNRATED"}} for n, k in enumerate(keys) if k == 2]
+        else:
+            found = {"data": {"scores": [{"value": 1}]}, "errors": [{"message": "one score is hidden", "path": ["scores"]}]}
+        body = json.dumps(found).encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *args: Any) -> None:
+        pass
+
+
+def _source_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors that a remote source sends with its data stand beside the data, with their paths in the query."""
+    with ThreadingHTTPServer(("127.0.0.1", 0), _Ratings) as service:
+        threading.Thread(target=service.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{service.server_address[1]}/"
+        own = testgraph.bindings(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        rated = remote.entities(url, "Region", StructType().add("regionKey", "long").add("rating", "integer"))
+        scores = remote.root(spark, url, "scores", StructType().add("value", "integer"))
+        sources = {n: (testgraph.SCHEMAS[n], own[n]) for n in testgraph.SCHEMAS} | {"ratings": (_Ratings.SDL, SourceBinding({"Region": rated}, {"scores": scores}))}
+        answer = Gateway(spark, sources).execute("{ regions { regionKey rating } points: scores { value } }", shape="nested").to_dict()
+        service.shutdown()
+    rows = [("rating", str(r["regionKey"]), str(r["rating"])) for r in answer["data"]["regions"]] + [("points", "", str(r["value"])) for r in answer["data"]["points"]]
+    rows += [("error", ".".join(e["path"]), f"{e['message']}: {e['extensions'].get('serviceName')} {e['extensions'].get('code', '')}".strip()) for e in answer["errors"]]
+    return spark.createDataFrame(rows, "kind string, place string, value string")
+
+
 SPECIAL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "variables_composite": (_variables_composite, CASES["variables_composite"].sql),
     "multi_root": (_multi_root, "select 'regions' as root, r_regionkey::bigint as key, r_name as name from region union all select 'nations', n_nationkey, n_name from nation union all select 'suppliers', s_suppkey, s_name from supplier"),
@@ -250,6 +294,11 @@ SPECIAL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         "select 'source is not reachable' as message, path, tag from (values ('customers.custKey', 'sales'), ('customers.orders', 'sales'), ('customers.nation.name', 'geo'), ('customers.nation.nationKey', 'geo')) t(path, tag)",
     ),
     "root_error_rows": (_error_rows("{ orders { orderKey } }", ("sales",)), "select 'source is not reachable' as message, '' as path, 'sales' as tag"),
+    "source_errors": (
+        _source_errors,
+        "select 'rating' as kind, cast(r_regionkey as varchar) as place, case r_regionkey when 2 then 'None' else cast(r_regionkey * 10 as varchar) end as value from region union all"
+        " select * from (values ('points', '', '1'), ('error', 'points', 'one score is hidden: ratings'), ('error', 'regions.rating', 'region 2 is not rated: ratings UNRATED'))",
+    ),
     "nested_list_count": (
         _nested_counts,
         'select c_custkey as "custKey", count(distinct o_orderkey) as n_orders, count(l_orderkey) as n_lines from customer left join orders on o_custkey = c_custkey left join lineitem on l_orderkey = o_orderkey group by 1',
@@ -266,7 +315,7 @@ SPECIAL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         _json_shape,
         "select cast(to_json(struct_pack(name := r_name, nations := list(struct_pack(\"nationKey\" := n_nationkey, name := n_name) order by n_nationkey))) as varchar) as json from region join nation on n_regionkey = r_regionkey group by r_regionkey, r_name",
     ),
-    "mutation_create": (_mutation, "select * from (values (106::bigint, 'Widget', 100::double), (9, 'Gear', 5.5)) t(\"custKey\", name, balance)"),
+    "mutation_create": (_mutation, "select * from (values (-3098762910::bigint, 'Widget', 100::double), (-1070393919, 'Gear', 5.5)) t(\"custKey\", name, balance)"),
     "schema_update": (_schema_update(False), 'select d.doc_id as "docId", quality, quality as grade from documents d left join labels l on d.doc_id = l.doc_id'),
     "schema_rollback": (_schema_update(True), 'select d.doc_id as "docId", quality from documents d left join labels l on d.doc_id = l.doc_id'),
     "subscription_stream": (_subscription, 'select o_orderkey as "orderKey", c_name as customer__name from orders left join customer on o_custkey = c_custkey'),

@@ -56,6 +56,8 @@ class Lowering:
         self.errors: list[ErrorRow] = []
         #: Paths that are absent, rather than null, in a JSON answer.
         self.omitted: set[tuple[str, ...]] = set()
+        #: Errors that look-ups meet while they run: what gives them, the source, and the path of its objects.
+        self.reported: list[tuple[Callable[[], list[ErrorRow]], str, tuple[str, ...]]] = []
 
     # roots
 
@@ -90,7 +92,12 @@ class Lowering:
     def _root_rows(self, plan: RootPlan, binding: Root, type_name: str, own: ObjectPlan | None) -> DataFrame:
         def rows() -> DataFrame:
             if binding.rows is not None:
-                return binding.rows(plan.node.args)
+                found = binding.rows(plan.node.args)
+                if isinstance(found, tuple):
+                    found, errors = found
+                    # the source's path begins with its own field
+                    self.errors += [ErrorRow(e.message, (*plan.node.path, *e.path[1:]), {"serviceName": plan.source} | e.extensions) for e in errors]
+                return found
             df = self.bindings[plan.source].type(type_name).frame()
             return self._filtered(df, binding.filters, plan.node.args)
 
@@ -168,11 +175,15 @@ def _narrower(narrowed: Callable[[Column, Node], Column], of: Node) -> Callable[
     return lambda x: narrowed(x, of)
 
 
-def looked_up(own: Lookup, df: DataFrame, keys: dict[str, Column], fields: list[str]) -> DataFrame:
+def looked_up(low: Lowering, source: str, path: tuple[str, ...], own: Lookup, df: DataFrame, keys: dict[str, Column], fields: list[str]) -> DataFrame:
     """Rows of a source that finds objects by key: each key is asked for once."""
     asked = df.select(*[c.alias(k) for k, c in keys.items()]).na.drop().distinct()
     columns = [b.column if isinstance(b := own.of(f), Nested) else f for f in fields]
-    return own.look_up(asked, [c for c in dict.fromkeys(columns) if c not in keys])
+    find = own.lenient if own.lenient and low.mode == FUSED else own.look_up
+    rows = find(asked, [c for c in dict.fromkeys(columns) if c not in keys])
+    if hasattr(rows, "reported"):
+        low.reported.append((rows.reported, source, path))
+    return rows
 
 
 class ObjectBuilder:
@@ -295,7 +306,7 @@ class ObjectBuilder:
         def rows() -> DataFrame:
             own = self.low.bindings[join.source].type(self.own.type)
             if isinstance(own, Lookup):
-                table = looked_up(own, df, {k: F.col(f"`{self.name(join.via, k)}`") for k in join.keys}, [n.name for n in join.nodes] + join.hidden)
+                table = looked_up(self.low, join.source, self.node.path, own, df, {k: F.col(f"`{self.name(join.via, k)}`") for k in join.keys}, [n.name for n in join.nodes] + join.hidden)
             else:
                 table = own.frame()
             return table.select(*[self.column(join.source, k).alias(a) for a, k in keys.items()], *[c.alias(a) for a, c in demand.items()])
@@ -387,7 +398,7 @@ class ObjectBuilder:
             try:
                 if isinstance(far, Lookup):
                     wanted = [n.name for n in plan.local] + plan.hidden + [k for j in plan.joins for k in j.keys]
-                    start = self.low._attempt(plan.base, lambda: looked_up(far, df, {k: at(k) for k in plan.stub_keys}, wanted))
+                    start = self.low._attempt(plan.base, lambda: looked_up(self.low, plan.base, node.path, far, df, {k: at(k) for k in plan.stub_keys}, wanted))
                 built = self.low.build(node, plan, need, start)
             except StepFailed as failure:
                 keys = [k for k in plan.stub_keys if k not in KEPT_KEYS] if self.low.key_nulling else []

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.errors import GraphError
+from graphweave.errors import ErrorRow, GraphError
 
 
 @dataclass(frozen=True)
@@ -72,10 +72,15 @@ class TypeBinding:
 @dataclass
 class Lookup:
     """A type without a table: ``look_up`` gets distinct keys (columns named by key fields) and the fields that are
-    wanted, and returns rows of keys and fields. Its objects can't be listed, only found."""
+    wanted, and returns rows of keys and fields. Its objects can't be listed, only found.
+
+    ``lenient`` does the same, but what fails while it runs gives nulls. Frames of either can carry
+    ``reported``: a function that gives the error rows met so far, known once the frame is computed.
+    """
 
     look_up: Callable[[DataFrame, Sequence[str]], DataFrame]
     fields: dict[str, Binding] = field(default_factory=dict)
+    lenient: Callable[[DataFrame, Sequence[str]], DataFrame] | None = None
 
     def of(self, name: str) -> Binding:
         return self.fields.get(name, name)
@@ -86,10 +91,10 @@ class Lookup:
 
 @dataclass(frozen=True)
 class Root:
-    """A root field: the rows of its type where columns equal arguments, or what ``rows`` gives for the arguments."""
+    """A root field: the rows of its type where columns equal arguments, or what ``rows`` gives for the arguments: a frame, or one with error rows."""
 
     filters: Mapping[str, str] = field(default_factory=dict)
-    rows: Callable[[dict[str, Any]], DataFrame] | None = None
+    rows: Callable[[dict[str, Any]], DataFrame | tuple[DataFrame, list[ErrorRow]]] | None = None
     order_by: Sequence[str] = ()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -114,7 +115,7 @@ def bindings(table: Callable[[str], DataFrame], sink: str | None = None) -> dict
 
     def created(args: dict[str, Any]) -> DataFrame:
         spark = table("region").sparkSession
-        key = len(args["name"]) + int(args["balance"])
+        key = -1 - zlib.crc32(f"{args['name']}:{float(args['balance'])}".encode())  # below all that are there
         return spark.createDataFrame([(key, args["name"], float(args["balance"]))], "c_custkey bigint, c_name string, c_acctbal double")
 
     customer = {"custKey": "c_custkey", "name": "c_name", "segment": "c_mktsegment", "balance": "c_acctbal", "internalCode": "c_name", "nation": Ref({"nationKey": "c_nationkey"})}

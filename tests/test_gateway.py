@@ -160,8 +160,8 @@ def test_schema_sources(tmp_path):
 
 
 def test_tracing(spark):
-    g = gateway(spark, "bank", tracing=True)
-    g.execute('{ customer(id: "1") { name } }')
+    g = gateway(spark, "orchard", tracing=True)
+    g.execute('{ plot(code: "N") { soil } }')
     assert [s.name for s in g.tracer.spans] == ["plan", "root"] and not any(s.failed for s in g.tracer.spans)
 
 

@@ -21,6 +21,7 @@ MAKER = T.StructType().add("id", "string").add("city", "string")
 class Service(BaseHTTPRequestHandler):
     asked: list = []
     broken = False
+    short = False
 
     def do_POST(self):
         body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
@@ -30,7 +31,7 @@ class Service(BaseHTTPRequestHandler):
             data = {"errors": [{"message": "closed", "path": ["stock"], "extensions": {"code": "X"}}]}
         elif "_entities" in body["query"]:
             Service.asked.append(body["variables"]["representations"])
-            data = {"data": {"_entities": [self.found(r) for r in body["variables"]["representations"]]}}
+            data = {"data": {"_entities": [self.found(r) for r in body["variables"]["representations"]][self.short :]}}
         else:
             makers = [{"id": "m1", "city": "Oslo"}, {"id": "m2", "city": "Rome"}]
             data = {"data": {"makers": [m for m in makers if body["variables"].get("city") in (None, m["city"])]}}
@@ -84,6 +85,24 @@ def test_remote_root(remote_gateway):
     assert len(remote_gateway.execute("{ makers { id } }", shape="nested").to_dict()["data"]["makers"]) == 2
 
 
+def test_a_failing_lookup_leaves_the_rest(remote_gateway):
+    """Fused: known once the answer is computed."""
+    Service.broken = True
+    response = remote_gateway.execute("{ items { id stock } }", shape="nested")
+    assert response.all_errors == []
+    answer = response.to_dict()
+    assert answer["data"]["items"][0] == {"id": "1", "stock": None} and len(answer["data"]["items"]) == 4
+    assert answer["errors"] == [{"message": "closed", "path": ["items", "stock"], "extensions": {"serviceName": "remote", "code": "X"}}]
+
+
+def test_short_answers_are_errors(remote_gateway, monkeypatch):
+    monkeypatch.setattr(Service, "short", True)
+    answer = remote_gateway.execute("{ items { id stock } }", shape="nested").to_dict()
+    assert {e["message"] for e in answer["errors"]} == {"2 objects were asked for, 1 came"} and answer["data"]["items"][0]["stock"] is None
+    answer = remote_gateway.execute("{ items { id stock } }", shape="nested", mode="isolated").to_dict()
+    assert answer["data"]["items"][0] == {"id": "1"} and answer["errors"]
+
+
 def test_failing_service(remote_gateway):
     Service.broken = True
     answer = remote_gateway.execute("{ items { id stock } }", shape="nested", mode="isolated").to_dict()
