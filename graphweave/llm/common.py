@@ -132,7 +132,7 @@ def once(build: Callable, *args):
     return _kept[key]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns what Python and Arrow have freed to the system; workers live on and share their executor's memory."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # other C libraries keep what they like
@@ -148,7 +148,7 @@ def tidied(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return tidy
 

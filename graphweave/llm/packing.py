@@ -286,6 +286,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     by_task = common.materialize(rest.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # fewer than capacity
     shared = spark.sparkContext.broadcast(places(pack(counts, capacity)))
+    common.give_back()  # the driver's Python, after the search
     earlier = by_task.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("earlier"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,12 +8,15 @@ bits select are added with carry-save adders, word-parallel over a block's rows.
 slices the top rows are selected from the most significant slice downward; rows that still tie at
 the boundary are resolved exactly, by smaller id. The blocks' best rows are merged for each query.
 
-Queries and index are joined block by block, a block of queries with a block of rows at a time.
+The index is moved once: queries, many to a row, are sent to each of its blocks (and the blocks are
+copied only where they are fewer than the cluster's cores). So for a given set of queries all that
+is moved grows with the rows.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; ids
 that are null neither; a query never meets its own row, that is any row with its id; repeated rows
-of other ids all count; ranks are by score, then id; fewer candidates than k give fewer rows. Scaled
-components and scores are meant to fit 64 bits; a component beyond that ends the query with an error.
+of other ids all count; ranks are by score, then id; fewer candidates than k give fewer rows. A
+query meets vectors of its own width. Scaled components must leave scores within 62 bits: those of
+a vector of width d are at most ``sqrt(2**62 / d)``, and vectors beyond that take no part.
 """
 
 from __future__ import annotations
@@ -29,8 +32,7 @@ from pyspark.sql.window import Window
 from graphweave.llm import common
 
 SCALE, K = 64, 20
-BLOCK_ROWS, BLOCK_QUERIES = 1 << 16, 256
-EMPTY = np.uint64(0)
+BLOCK_ROWS, BLOCK_QUERIES = 1 << 16, 2048
 
 
 class SlicedBlock:
@@ -148,58 +150,62 @@ def quantised(vectors: DataFrame, scale: int = SCALE, vector: str = "embedding",
     """(id, v): components times ``scale``, floored; only rows that take part."""
     finite = "forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0").where(finite)
-    return rows.select("id", F.expr(f"transform(v, x -> cast(floor({scale} * x) as bigint))").alias("v"))
+    fits = f"forall(v, x -> abs(x) <= sqrt({2.0**62} / size(v)) / {scale})"
+    return rows.where(fits).select("id", F.expr(f"transform(v, x -> cast(floor({scale} * x) as bigint))").alias("v"))
 
 
-def _dealt(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows with the number of their block, of about ``size`` rows each, by a hash of the id; and how many there are."""
-    number = max(1, -(-rows.count() // size))
-    return rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(number)).cast("int")), number
+def _dealt(rows: DataFrame, number: int, name: str) -> DataFrame:
+    """Rows with the number of their block, by a hash of the id, and their width."""
+    return rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(number)).cast("int")).withColumn("width", F.size("v"))
 
 
 def _matrix(group: pd.DataFrame) -> np.ndarray:
     return np.array(group["v"].tolist(), np.int64)
 
 
-def sliced_index(rows: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
-    """The index: a row for each block, with its ids and slices."""
-    schema = "block int, " + ", ".join(f"{name} binary" for name, _ in SlicedBlock.PARTS)
+def sliced_index(rows: DataFrame, blocks: int) -> DataFrame:
+    """The index: a row for each block and width, with its ids and slices."""
+    schema = "block int, width int, " + ", ".join(f"{name} binary" for name, _ in SlicedBlock.PARTS)
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         parts = SlicedBlock.of(group["id"].to_numpy(np.int64), _matrix(group)).dump()
-        return pd.DataFrame({"block": [int(group["block"].iloc[0])]} | {name: [data] for name, data in parts.items()})
+        return pd.DataFrame({"block": [key[0]], "width": [key[1]]} | {name: [data] for name, data in parts.items()})
 
-    return common.materialize(_dealt(rows, size, "block")[0].groupBy("block").applyInPandas(build, schema), "sliced-index")
+    return common.materialize(_dealt(rows, blocks, "block").groupBy("block", "width").applyInPandas(build, schema), "sliced-index")
 
 
-def _asked(queries: DataFrame, size: int) -> tuple[DataFrame, int]:
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"asked": [int(group["asked"].iloc[0])], "asked_ids": [group["id"].to_numpy(np.int64).tobytes()], "asked_data": [_matrix(group).tobytes()]})
+def _asked(queries: DataFrame, packs: int) -> DataFrame:
+    """Queries, those of a pack in one row."""
 
-    dealt, number = _dealt(queries, size, "asked")
-    return dealt.groupBy("asked").applyInPandas(build, "asked int, asked_ids binary, asked_data binary"), number
+    def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"pack": [key[0]], "width": [key[1]], "asked_ids": [group["id"].to_numpy(np.int64).tobytes()], "asked_data": [_matrix(group).tobytes()]})
+
+    return _dealt(queries, packs, "pack").groupBy("pack", "width").applyInPandas(build, "pack int, width int, asked_ids binary, asked_data binary")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` best rows for each query; both inputs (id, v) of one width."""
+    """(query_id, rank, vec_id, score) of the ``k`` best rows for each query; both inputs (id, v)."""
     spark = rows.sparkSession
-    common.ship(spark)
-    asked, groups = _asked(queries, block_queries)
-    index = sliced_index(rows, block_rows).withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    met = index.join(asked, "asked").repartition(max(1, groups), "asked", "block")
+    common.bounded_batches(spark)
+    blocks = max(1, -(-rows.count() // block_rows))
+    copies = max(1, -(-spark.sparkContext.defaultParallelism // blocks))
+    packs = max(copies, -(-queries.count() // block_queries))
+    index = sliced_index(rows, blocks).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    asked = _asked(queries, packs).withColumn("copy", F.col("pack") % copies).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = asked.drop("pack").repartition(blocks * copies, "block", "copy").join(index.hint("shuffle_merge"), ["block", "copy", "width"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[int, SlicedBlock] | None = None
+        held: tuple[tuple, SlicedBlock] | None = None
         for batch in batches:
             for row in batch.itertuples(index=False):
-                if held is None or held[0] != row.block:
-                    held = row.block, SlicedBlock.load(row)
+                if held is None or held[0] != (row.block, row.width):
+                    held = (row.block, row.width), SlicedBlock.load(row)
                 query_ids = np.frombuffer(row.asked_ids, np.int64)
                 queries_ = np.frombuffer(row.asked_data, np.int64).reshape(len(query_ids), -1)
                 found = [(q, *held[1].best(int(q), v, k)) for q, v in zip(query_ids, queries_)]
                 yield pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
-    best = met.drop("asked").mapInPandas(common.tidied(search), "query_id bigint, vec_id bigint, score bigint")
+    best = met.drop("copy").mapInPandas(common.tidied(search), "query_id bigint, vec_id bigint, score bigint")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -252,6 +252,10 @@ def test_top_k(spark, sf_path, monkeypatch):
     frame = topk.quantised(table)
     small = topk.top_k(frame, frame.where("id % 20 = 0"), k=5, block_rows=70, block_queries=4).collect()
     assert sorted(map(tuple, small)) == [r for r in slow_top(exact, 5)]
+    odd = [(0, [0.5, 0.5]), (1, [1.0]), (2, [1.0, -2.0]), (3, [0.25, 1.0]), (3, [0.25, 1.0]), (20, [4.0]), (40, []), (60, [1e300, 0.0]), (80, [2.0**24, 1.0]), (100, [2.0**25, -1.0])]
+    mixed = topk.quantised(spark.createDataFrame(odd, "vec_id bigint, embedding array<double>"))
+    of_width = [[(i, v) for i, v in odd if len(v) == n and max(map(abs, v)) < 2.3e7] for n in (1, 2)]
+    assert sorted(map(tuple, topk.top_k(mixed, mixed.where("id % 20 = 0"), k=20, block_rows=2).collect())) == sorted(slow_top(of_width[0], 20) + slow_top(of_width[1], 20))
     none = topk.quantised(table.limit(0))
     assert topk.top_k(none, none).count() == 0
     few = topk.quantised(table.limit(3))
