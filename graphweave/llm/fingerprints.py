@@ -3,20 +3,20 @@
 A fingerprint is a wide vector summed over the paragraphs (lines) of a text, so paragraphs can be
 added or taken away, in any order, without the rest of the text:
 
-* ``LANES`` lanes modulo 2**32, hashed from each whole paragraph: equal multisets of paragraphs
-  give equal lanes, others don't but by chance;
+* ``LANES`` lanes modulo 2**32, cut from the 512-bit SHA-2 of each whole paragraph: equal multisets
+  of paragraphs give equal lanes, others don't but by chance;
 * the number of clauses (runs of letters, digits and blanks within a paragraph) modulo 2**32, and
   ``SIGNS`` counters modulo 2**21 of how many clauses have a hash with a given bit set. Read as
   sums of random signs they estimate the cosine of two multisets of clauses: the likeness.
 
 ``combine`` adds or subtracts vectors. Counters of texts with 2**21 clauses or more wrap
-like the others. Order within the text counts for ``fingerprint_text``, which appends a hash of the
-whole text, so that equal fingerprints there mean equal texts.
+like the others. Order within the text counts for ``fingerprint_text``, which appends half of the
+256-bit SHA-2 of the whole text, so that equal fingerprints there mean equal texts.
 
 Defined results: a null text counts as empty, an empty text has one empty paragraph and no clause;
 an empty fingerprint is like another empty one (1) and unlike all others (0); documents follow
-each other by id, null ids first, rows of one id by a hash of their text; an only row is its own
-next one; an empty table gives no rows.
+each other by id, null ids first, rows of one id by a hash of their text, equal rows in any order; an
+only row is its own next one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +30,8 @@ from pyspark.sql.window import Window
 from graphweave.llm import common
 
 LANES, SIGNS, FIELDS, FIELD_BITS = 16, 63, 3, 21
-#: Ids that follow each other share a bucket of 2**BUCKET_BITS ids; buckets of buckets likewise.
-BUCKET_BITS = 11
-SMALL = 4096
+#: Equal rows are made from one of them, so many in a task.
+COPIES = 1024
 CLAUSE_ENDS = r"[^\p{L}\p{N} ]+"
 
 
@@ -42,8 +41,8 @@ def with_vector(rows: DataFrame, text: str, name: str) -> DataFrame:
     Hashes are columns of their own for a while, so that each is computed once.
     """
     words, field = (1 << 32) - 1, (1 << FIELD_BITS) - 1
-    clauses = F.filter(F.transform(F.split(text, CLAUSE_ENDS), F.trim), lambda c: c != "")
-    hashed = rows.select("*", F.transform(F.split(text, "\n"), lambda p: F.xxhash64(p)).alias("own_paragraphs"), F.transform(clauses, lambda c: F.xxhash64(c, F.lit(-1))).alias("own_signs"))
+    clauses = F.filter(F.transform(F.split(text, CLAUSE_ENDS), lambda c: F.trim(c)), lambda c: c != "")
+    hashed = rows.select("*", F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 512)).alias("own_paragraphs"), F.transform(clauses, lambda c: F.xxhash64(c, F.lit(-1))).alias("own_signs"))
 
     def summed(array: str, value: Callable[[Column], Column], modulus: int | None = None) -> Column:
         wrap = (lambda x: x) if modulus is None else (lambda x: x.bitwiseAND(F.lit(modulus)))
@@ -52,11 +51,11 @@ def with_vector(rows: DataFrame, text: str, name: str) -> DataFrame:
     def bits(k: int, mask: int) -> Callable[[Column], Column]:
         return lambda h: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask))
 
-    def half(k: int, shift: int) -> Callable[[Column], Column]:
-        """Of a second hash of a paragraph."""
-        return lambda h: F.shiftrightunsigned(F.xxhash64(h, F.lit(k)), shift).bitwiseAND(F.lit(words))
+    def lane(k: int) -> Callable[[Column], Column]:
+        """Eight of a hash's hexadecimal digits."""
+        return lambda h: F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("bigint")
 
-    lanes = [summed("own_paragraphs", half(k, shift), words) for k in range(LANES // 2) for shift in (0, 32)]
+    lanes = [summed("own_paragraphs", lane(k), words) for k in range(LANES)]
     one = sum(1 << (FIELD_BITS * k) for k in range(FIELDS))
     many = F.size("own_signs") >= (1 << FIELD_BITS)
     counters = []
@@ -107,61 +106,68 @@ def as_text(v: Column) -> Column:
     return F.concat(head, F.array_join(F.transform(F.slice(v, LANES + 2, SIGNS // FIELDS), lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), ""))
 
 
-def fingerprint_text(v: Column, text_hash: Column) -> Column:
-    return F.concat(as_text(v), F.lit(":"), F.lpad(F.lower(F.hex(text_hash)), 16, "0"))
+def fingerprint_text(v: Column, text: Column) -> Column:
+    return F.concat(as_text(v), F.lit(":"), F.substring(F.sha2(text, 256), 1, 32))
 
 
-def _successors(keys: DataFrame, level: int = 0) -> DataFrame:
-    """(key, next_key) of distinct ``keys``, null after the last, without one task for all of them."""
-    if level == 6 or keys.count() <= SMALL:
-        return keys.select("key", F.lead("key").over(Window.orderBy("key")).alias("next_key"))
-    dealt = keys.withColumn("bucket", F.shiftright("key", BUCKET_BITS))
-    firsts = dealt.groupBy("bucket").agg(F.min("key").alias("first_key"))
-    after = _successors(firsts.select(F.col("bucket").alias("key")), level + 1)
-    link = after.join(firsts, F.col("next_key") == F.col("bucket"), "left").select(F.col("key").alias("bucket"), "first_key")
-    inner = dealt.withColumn("within", F.lead("key").over(Window.partitionBy("bucket").orderBy("key")))
-    return inner.join(link, "bucket").select("key", F.coalesce("within", "first_key").alias("next_key"))
+ROW = ["named", "key", "hash"]
 
 
-def with_next(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc_id``, ``text`` and ``more`` with ``next_text`` and so on: those of the next row by ascending id, of the first row after the last.
+def _succession(classes: DataFrame) -> DataFrame:
+    """``classes`` with the columns ``ROW`` of the next class as ``next_…``, of the first one after the last.
 
-    Rows are dealt to buckets of neighbouring ids; the first row of each bucket also stands, as a
-    guard, at the end of the bucket before. Texts are moved once.
+    Ranges of the order, bounded by Spark's sample, are one partition each; the first class of each
+    range follows the last one of the range before. There are as many ranges as shuffle partitions.
     """
-    key, led = F.coalesce("doc_id", F.lit(-(2**63))), ("text", *more)
-    rows = docs.withColumn("key", key).withColumn("bucket", F.shiftright("key", BUCKET_BITS))
-    buckets = common.materialize(docs.select(key.alias("key")).withColumn("bucket", F.shiftright("key", BUCKET_BITS)).groupBy("bucket").agg(F.min("key").alias("first_key")), "buckets")
-    number = buckets.count()
-    after = _successors(buckets.select(F.col("bucket").alias("key")))
-    least = buckets.agg(F.min("bucket").alias("least"))  # one row
-    before = after.crossJoin(F.broadcast(least)).select(F.col("key").alias("bucket"), F.coalesce("next_key", "least").alias("next_bucket"))
-    guards = before.join(buckets.select(F.col("bucket").alias("next_bucket"), "first_key"), "next_bucket").select(F.col("bucket").alias("guarded"), "first_key")
-    guards = common.materialize(guards, "guards")
-    if number <= 100_000:  # two numbers a row
-        guards = F.broadcast(guards)
-    copies = rows.join(guards, F.col("key") == F.col("first_key")).select("doc_id", *led, "key", F.col("guarded").alias("bucket"), F.lit(True).alias("guard"))
-    order = Window.partitionBy("bucket").orderBy("guard", "key", F.xxhash64("text"))
-    both = rows.select("doc_id", *led, "key", "bucket", F.lit(False).alias("guard")).unionAll(copies)
-    return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in led]).where("not guard").drop("guard", "key", "bucket")
+    ranges = common.materialize(classes.repartitionByRange(*ROW).withColumn("part", F.spark_partition_id()), "classes")
+    within = Window.partitionBy("part").orderBy(*ROW)
+    firsts = ranges.groupBy("part").agg(F.min(F.struct(*ROW)).alias("first"))
+    order = Window.orderBy("part")  # a row for each range
+    after = firsts.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
+    led = ranges.select("*", F.lead(F.struct(*ROW)).over(within).alias("next")).join(after, "part")
+    return led.select(*classes.columns, *[F.coalesce(f"next.{c}", f"after.{c}").alias(f"next_{c}") for c in ROW])
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text``, ``vector``, ``next_vector`` and ``next_head``: the first half as many characters as the text's own of the next text by ascending id, of the first after the last.
+
+    Order is found from ids and hashes alone. Then each text meets what it needs of the next one by
+    a join on them, so no id holds a task up. Rows with one id and one text are a class: it is made
+    up once and stands for the last of its rows, and the others are followed by their like.
+    """
+    rows = docs.withColumn("named", F.col("doc_id").isNotNull()).withColumn("key", F.coalesce("doc_id", F.lit(0))).withColumn("hash", F.xxhash64("text"))
+    classes = common.materialize(rows.groupBy(*ROW).agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("size")), "ids")
+    repeated = common.materialize(classes.where("copies > 1").select(*ROW, "copies"), "repeated")
+    twins = rows.join(repeated, ROW).groupBy(*ROW).agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
+    base = rows.join(repeated, ROW, "left_anti").select(*ROW, "text").unionAll(twins.select(*ROW, "text"))
+    dealt = with_vector(base, "text", "vector").repartition(*ROW)
+    links = _succession(classes.select(*ROW, "size"))
+    heads = dealt.join(links.select(*[F.col(c).alias(f"own_{c}") for c in ROW], "size", *[F.col(f"next_{c}").alias(c) for c in ROW]), ROW)
+    heads = heads.select(*[F.col(f"own_{c}").alias(c) for c in ROW], F.substring("text", F.lit(1), F.floor(F.col("size") / 2).cast("int")).alias("next_head"), F.col("vector").alias("next_vector"))
+    doc_id = F.when(F.col("named"), F.col("key")).alias("doc_id")
+    last = dealt.join(heads, ROW).select(doc_id, "text", "vector", "next_vector", "next_head")
+    chunks = twins.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (copies - 2) div {COPIES})"))).repartition(*ROW, "chunk")
+    others = with_vector(chunks, "text", "vector").withColumn("copy", F.explode(F.expr(f"sequence(1L, least({COPIES}L, copies - 1 - chunk * {COPIES}))")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    return last.unionAll(others.select(doc_id, "text", "vector", F.col("vector").alias("next_vector"), F.substring("text", F.lit(1), half).alias("next_head")))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, vector, fingerprint) of every whole text."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return with_vector(rows, "text", "vector").select("doc_id", "vector", fingerprint_text(F.col("vector"), F.xxhash64("text")).alias("fingerprint"))
+    return with_vector(rows, "text", "vector").select("doc_id", "vector", fingerprint_text(F.col("vector"), F.col("text")).alias("fingerprint"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_vector(docs, "text", "vector"), "vector").withColumn("n_chars", F.length("text").cast("bigint"))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
+    rows = with_next(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    kept = F.col("n_chars").cast("int") - F.floor(F.col("n_chars") / 2).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), "next_head"))
     rows = with_vector(rows, "edited", "edited_vector").select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        *[fingerprint_text(F.col(v), F.xxhash64(t)).alias(name) for v, t, name in (("vector", "text", "fingerprint"), ("edited_vector", "edited", "edited_fingerprint"))],
+        *[fingerprint_text(F.col(v), F.col(t)).alias(name) for v, t, name in (("vector", "text", "fingerprint"), ("edited_vector", "edited", "edited_fingerprint"))],
         *[signed(F.col(v)).alias(f"signed_{v}") for v in ("vector", "edited_vector", "next_vector")],
         *[(F.col("vector") == F.col(v)).alias(f"equal_{v}") for v in ("edited_vector", "next_vector")],
     )

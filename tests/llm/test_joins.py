@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -218,14 +219,55 @@ def test_fingerprints_are_homomorphic(spark, docs_of):
     assert len(set(texts.values())) == 5  # the order counts for whole texts
 
 
-def test_next_row_over_buckets(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(fingerprints, "SMALL", 3)
-    monkeypatch.setattr(fingerprints, "BUCKET_BITS", 2)
+def slow_vector(text):
+    """Lanes from paragraphs, then the number of clauses and how many of them have each bit set; the clauses' hashes are Spark's."""
+    lanes = [0] * fingerprints.LANES
+    for paragraph in text.split("\n"):
+        digits = hashlib.sha512(paragraph.encode()).hexdigest()
+        lanes = [(x + int(digits[8 * k : 8 * k + 8], 16)) % 2**32 for k, x in enumerate(lanes)]
+    return lanes, [c for c in (x.strip(" ") for x in regex.split(r"[^\p{L}\p{N} ]+", text)) if c]
+
+
+def test_fingerprints_against_plain_ones(spark, docs_of, sf_path, monkeypatch):
+    """Vectors, likenesses and order, with ids that repeat or are null, and equal rows."""
+    monkeypatch.setattr(fingerprints, "COPIES", 2)
+    rng = random.Random(11)
+    text = lambda: "\n".join(", ".join(" ".join(rng.choices("abcdefgh", k=3)) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 5)))
+    rows = [(i, text()) for i in range(0, 60, 3)] + [(7, "x\ny"), (7, "y\nx"), (None, "no. id"), (None, "none"), (None, None), (2**62, "é😀é\n"), (-5, "- ! -")]
+    rows += [(9, "same, twice")] * 6 + [(None, "")] * 4
+    found = fingerprints.op6_fingerprints(spark, sf_path(documents=docs_of(*rows))).collect()
+    hashes = {r["c"]: r["h"] for r in spark.createDataFrame([(c,) for _, t in rows for c in slow_vector(t or "")[1]] or [("",)], "c string").select("c", F.xxhash64("c", F.lit(-1)).alias("h")).collect()}
+    texts = sorted((i is not None, i or 0, t or "") for i, t in rows)
+    of_hash = {t: h for t, h in spark.createDataFrame([(t,) for t in {t for *_, t in texts}], "t string").select("t", F.xxhash64("t")).collect()}
+    order = sorted(texts, key=lambda r: (r[0], r[1], of_hash[r[2]]))
+    head = lambda t: "".join(f"{x:08x}" for x in [*slow_vector(t)[0], len(slow_vector(t)[1])])
+
+    def signs(t):
+        clauses = slow_vector(t)[1]
+        return np.array([2 * sum((hashes.get(c, 0) >> b) & 1 for c in clauses) - len(clauses) for b in range(fingerprints.SIGNS)], float)
+
+    def near(one, other):
+        a, b = signs(one), signs(other)
+        norm = np.sqrt(a @ a * (b @ b))
+        same = head(one) == head(other) and sorted(slow_vector(one)[1]) == sorted(slow_vector(other)[1])
+        return 1.0 if same else max(0.0, a @ b / norm) if norm else 0.0
+
+    wanted = Counter()
+    for k, (named, i, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][2], len(t) // 2
+        edit = t[: len(t) - half] + after[:half]
+        wanted[i if named else None, len(t), hashlib.sha256(edit.encode()).hexdigest(), head(t), hashlib.sha256(t.encode()).hexdigest()[:32], head(edit), round(near(t, after), 9)] += 1
+    size = len(head(""))
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"][:size], r["fingerprint"].split(":")[1], r["edited_fingerprint"][:size], round(r["near_next"], 9)) for r in found)
+    assert got == wanted
+
+
+def test_next_row_edges(spark, docs_of):
     ids = sorted(random.Random(3).sample(range(-(10**6), 10**6), 60)) + [2**62]
     rows = [(i, f"t{i}") for i in ids]
-    found = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(docs_of(*rows).select("doc_id", "text")).collect()}
-    assert found == {i: rows[(k + 1) % len(rows)][1] for k, (i, _) in enumerate(rows)}
-    assert fingerprints.with_next(docs_of((1, "a")).select("doc_id", "text")).first()["next_text"] == "a"
+    found = {r["doc_id"]: r["next_head"] for r in fingerprints.with_next(docs_of(*rows).select("doc_id", "text")).collect()}
+    assert found == {i: rows[(k + 1) % len(rows)][1][: len(rows[k][1]) // 2] for k, (i, _) in enumerate(rows)}
+    assert fingerprints.with_next(docs_of((1, "ab")).select("doc_id", "text")).first()["next_head"] == "a"
     assert fingerprints.with_next(docs_of().limit(0).select("doc_id", "text")).count() == 0
 
 
