@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable
@@ -19,6 +18,7 @@ from graphweave import testgraph
 from graphweave.gateway import Gateway
 from graphweave.sources import remote
 from graphweave.sources.binding import Root, SourceBinding, TypeBinding
+from graphweave.sources.pin import shared_dir
 from graphweave.streaming.subscription import subscribe
 
 
@@ -205,8 +205,8 @@ def _json_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphweave-")
-    gateway = testgraph.build(spark, sf_dir, sink=f"{base.rstrip('/')}/created-{uuid.uuid4().hex}")
+    base = shared_dir(spark)
+    gateway = testgraph.build(spark, sf_dir, sink=f"{base}/created-{uuid.uuid4().hex}")
     found = gateway.execute('mutation { one: createCustomer(name: "Widget", balance: 100) { custKey name balance } two: createCustomer(name: "Gear", balance: 5.5) { custKey name balance } }')
     return found["one"].unionAll(found["two"])
 
@@ -232,8 +232,7 @@ def _subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
     own["sales"].roots["orderPlaced"] = Root(rows=lambda _: spark.readStream.schema(orders).parquet(f"{sf_dir}/orders*.parquet"))
     gateway = Gateway(spark, {n: (s, own[n]) for n, s in testgraph.SCHEMAS.items()})
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphweave-")).rstrip("/")
-    at = f"{base}/subscription-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/subscription-{uuid.uuid4().hex}"
     frame = subscribe(gateway, "subscription { orderPlaced { orderKey customer { name } } }")
     frame.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(frame.schema).parquet(f"{at}/rows")

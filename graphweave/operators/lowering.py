@@ -101,7 +101,7 @@ class Lowering:
             df = self.bindings[plan.source].type(type_name).frame()
             return self._filtered(df, binding.filters, plan.node.args)
 
-        return self._attempt(plan.source, rows)
+        return self._attempt(plan.source, rows, pinned=own is None)
 
     @staticmethod
     def _filtered(df: DataFrame, filters: dict[str, str], args: dict) -> DataFrame:
@@ -117,11 +117,12 @@ class Lowering:
 
     # failures
 
-    def _attempt(self, source: str, make) -> DataFrame:
+    def _attempt(self, source: str, make, pinned: bool = True) -> DataFrame:
+        """The frame of ``make``; in isolated mode it is computed here if ``pinned``, else once its columns have been narrowed."""
         try:
             df = make()
             df.schema  # noqa: B018 - analysis fails here, not later
-            return pin(df) if self.mode == ISOLATED else df
+            return pin(df) if pinned and self.mode == ISOLATED else df
         except (StepFailed, GraphError) as e:
             raise (StepFailed(source, e) if isinstance(e, SourceError) else e) from e
         except Exception as e:
@@ -163,7 +164,7 @@ class Lowering:
 
     def build(self, node: Node, own: ObjectPlan, need: dict[str, Column], start: DataFrame | None = None) -> Built:
         """The objects of ``own`` with their selections, and the columns ``need`` of the base table by alias."""
-        base = start if start is not None else self._attempt(own.base, self.bindings[own.base].type(own.type).frame)
+        base = start if start is not None else self._attempt(own.base, self.bindings[own.base].type(own.type).frame, pinned=False)
         return ObjectBuilder(self, node, own).run(base, need)
 
 
@@ -262,6 +263,7 @@ class ObjectBuilder:
         take = {**demand[own.base], **need}
         try:
             df = base.select(*[c.alias(a) for a, c in take.items()]) if take else base.select(F.lit(True).alias(constant))
+            df = pin(df) if self.low.mode == ISOLATED else df
         except Exception as e:
             raise StepFailed(own.base, e) from e
         failed: set[str] = set()
@@ -496,7 +498,7 @@ class ObjectBuilder:
             table = self.low.bindings[source].type(node.type).frame()
             return self.low._filtered(table, bound.filters, node.args)
 
-        start = self.low._attempt(source, rows)
+        start = self.low._attempt(source, rows, pinned=False)
         built = self.low.build(node, plan, {a: F.col(c) for a, (_, c) in keys.items()} | order, start)
         condition = [F.col(f"`{self.name(source, k)}`") == F.col(f"`{a}`") for a, (k, _) in keys.items()]
         if self.low.shape == FLAT:
