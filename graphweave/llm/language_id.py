@@ -3,7 +3,9 @@
 Texts are lower-cased and everything but letters becomes a blank; the n-grams of the whole text
 are hashed into a fixed number of buckets. Counts per language are summed by partition, the
 matrix of log-probabilities (buckets x languages, a size set by the parameters) is broadcast, and
-whole batches of texts are scored by gathers and segment sums in numpy.
+whole batches of texts are scored by gathers and segment sums in numpy. A text's log-likelihood is
+divided by the number of orders: each character stands in an n-gram of every order, so the plain
+sum would count the text that many times over and all scores would be near 0 or 1.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; a tie goes to the
 language that sorts first; repeated rows are scored alike; an empty table gives no rows; with

@@ -3,7 +3,10 @@
 Statistics of each whole text are standardised and mapped to random Fourier features, which
 approximate a Gaussian kernel; the normal equations of ridge regression are summed by partition
 (their size depends on the number of features alone) and solved once; a step function fitted by
-pooling adjacent violators over a histogram of scores turns them into probabilities.
+pooling adjacent violators over a histogram of scores turns them into probabilities. Two additions
+to the plain method: the statistics themselves and a constant stand beside the Fourier features,
+so that the kernel need only fit what a straight line leaves; and a logistic curve of the raw score
+makes up ``CURVE`` of the result, so that scores still rise within a step of the isotonic fit.
 
 Defined results: null and empty texts have the statistics of an empty text and are scored like
 any other; equal texts get equal scores; an empty table gives no rows; with nothing to learn from
@@ -26,6 +29,7 @@ from graphweave.llm import common
 
 FEATURES, RIDGE, SEED = 256, 1e-3, 11
 THRESHOLD = 0.3
+CURVE = 0.02
 #: Bound on the labelled rows that are learned from; above it, a hash of the id picks about so many.
 TRAIN_ROWS = 20_000
 BINS = 400
@@ -74,7 +78,7 @@ class QualityModel:
         """Calibrated, and still rising with the raw score within a level."""
         raw = self.raw(stats)
         steps = np.interp(raw, self.knots, self.levels)
-        return np.clip(0.98 * steps + 0.02 / (1 + np.exp(-4 * (raw - 0.5))), 0.0, 1.0)
+        return np.clip((1 - CURVE) * steps + CURVE / (1 + np.exp(-4 * (raw - 0.5))), 0.0, 1.0)
 
 
 def standard(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:

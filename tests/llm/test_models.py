@@ -1,11 +1,14 @@
 """Language ID, quality and secrets: defined results, held-out accuracy, spans by hand."""
 
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphweave.llm import language_id, quality, secrets
 
@@ -164,3 +167,57 @@ def test_ordinary_samples_come_from_whole_texts(docs_of):
     late = "ordinary_words_that_come_late"
     samples = secrets.labelled_samples(docs_of((1, " ".join(["plain_words"] * 60 + [late]))))
     assert [v for v, label in samples if label == 0] == [late]
+
+
+def test_language_scores_against_plain_bayes(spark, docs_of, sf_path):
+    """Counts, priors and posteriors by plain sums, through the query; ids repeat and are null."""
+    words = {"aa": "bab aba bba", "bb": "cdc dcd bab", "cc": "xyz zyx aba"}
+    rng = random.Random(5)
+    rows = [(None if k % 9 == 0 else k // 2, " ".join(rng.choices(words[lang].split(), k=rng.randint(1, 6))), lang) for k in range(90) for lang in [rng.choice(sorted(words))]]
+    schema = "doc_id bigint, text string, lang string"
+    at = sf_path(documents=spark.createDataFrame(rows, schema))
+    learned = [(t, lang) for i, t, lang in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 0]
+    langs = sorted({lang for _, lang in learned})
+
+    def grams(text):
+        found, starts, _ = language_id.hashed_ngrams([text])
+        return [b for own in found for b in own.tolist() if b < 2**language_id.BITS]
+
+    counts = {lang: Counter(b for t, own in learned if own == lang for b in grams(t)) for lang in langs}
+    total = {lang: sum(c.values()) + 0.5 * 2**language_id.BITS for lang, c in counts.items()}
+    wanted = Counter()
+    for i, t, _ in rows:
+        logs = [sum(math.log((counts[x][b] + 0.5) / total[x]) for b in grams(t)) / len(language_id.ORDERS) + math.log(sum(own == x for _, own in learned) / len(learned)) for x in langs]
+        best = max(range(len(langs)), key=lambda k: (logs[k], -k))
+        wanted[i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, langs[best], round(1 / sum(math.exp(x - logs[best]) for x in logs), 4)] += 1
+    got = Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 4)) for r in language_id.op3_language_id(spark, at).collect())
+    assert got == wanted
+
+
+def test_quality_weights_against_one_solve(spark, docs_of):
+    """Partition-summed normal equations give the weights of ridge regression over all rows at once."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choices(["good", "words", "here.", "AND", "#$%", "7"], k=rng.randint(1, 40)))) for k in range(300)] + [(k, "") for k in range(300, 310)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(310)], "doc_id bigint, quality int")
+    model = quality.train(docs_of(*rows).repartition(7), labels)
+    stats = np.array([quality.statistics(t) for _, t in rows])
+    assert np.allclose(model.mean, stats.mean(axis=0)) and np.allclose(model.scale, np.sqrt(np.maximum(stats.var(axis=0), 1e-6)), atol=1e-9)
+    fit = np.array([zlib.crc32(f"{k}c".encode()) % 4 != 0 for k, _ in rows])
+    x = np.clip((stats - model.mean) / model.scale, -5, 5)
+    z = np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(x @ model.directions + model.phase), x, np.ones((len(x), 1))])
+    y = np.array([k % 2 for k, _ in rows], float)
+    gram = z[fit].T @ z[fit]
+    plain = np.linalg.solve(gram + quality.RIDGE * max(1.0, np.trace(gram) / len(gram)) * np.eye(len(gram)), z[fit].T @ y[fit])
+    assert np.allclose(z @ model.weights, z @ plain, atol=1e-6)
+    scored = quality.score(docs_of(*rows, (None, None), (5, rows[5][1])), model, keep=("doc_id", "source")).collect()
+    by_id = {r["doc_id"]: r["score"] for r in scored}
+    assert np.allclose([by_id[k] for k, _ in rows], model.score(stats)) and len(scored) == 312 and by_id[None] == by_id[300]
+
+
+def test_kept_columns_give_way_to_results(spark, docs_of):
+    """Kept columns named as results give way; ids beyond 2**53 beside nulls come through as they are."""
+    docs = docs_of((2**62 + 1, "a b"), (None, "c d")).withColumn("score", F.lit("x")).withColumn("predicted", F.lit("y")).withColumn("spans", F.lit("z"))
+    scored = quality.score(docs, None, keep=("doc_id", "score", "predicted"))
+    assert scored.columns == ["doc_id", "score", "predicted"] and {r["doc_id"] for r in scored.collect()} == {2**62 + 1, None}
+    found = secrets.scan(docs, secrets.train([]), keep=("doc_id", "spans"))
+    assert found.columns == ["doc_id", "spans"] and found.first()["spans"] == []
