@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -11,6 +12,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphweave.llm import bpe, byte_bpe, common, packing, token_counts, token_files
@@ -275,3 +277,74 @@ def test_token_counts(spark, docs_of, odd):
         if len(same) == 1:
             assert [(r["start"], r["end"]) for r in sorted(own, key=lambda r: r["section"])] == token_counts.lines(t or "") and abs(sum(r["token_share"] for r in own) - n) < 1e-6
     assert token_counts.token_counts(docs_of().limit(0), RANKS, P.PATTERN).count() == 0
+
+
+def test_patterns_across_blanks_are_noticed(tmp_path):
+    """A vocabulary whose pre-tokens reach over line ends encodes its texts whole, and still equals its library."""
+    import json
+
+    own = json.load(open(P.path("byte_bpe_50k.json")))
+    own["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"!\n|\w+\s\w+|\s|[^\s]"}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    last = own["model"]["merges"].pop()
+    free = own["model"]["vocab"].pop("".join(last if isinstance(last, list) else last.split(" ")))
+    own["model"]["vocab"]["!Ċ"] = free
+    own["model"]["merges"].append(["!", "Ċ"] if isinstance(last, list) else "! Ċ")
+    at = tmp_path / "own.json"
+    at.write_text(json.dumps(own))
+    library, encoder = Tokenizer.from_file(str(at)), bpe.library_encoder(str(at))
+    batch = ["hey!\nyou there", "a b!\n\nc", "one two three", ""]
+    assert library.encode("hey!\nyou").ids != [x for c in ("hey!", "\nyou") for x in library.encode(c).ids]
+    assert [x.tolist() for x in bpe.splits(*encoder(batch))] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_token_count_query(sf_path, spark, docs_of, odd):
+    """Byte by byte: a token is the line's that holds most of its bytes, the earlier one on a tie."""
+    rows = [*odd, (11, "é\n\n😀x\ny"), (None, "a.\n\n\nb"), (12, " \n" * 40)]
+    got = token_counts.op1_token_counts(spark, sf_path(documents=docs_of(*rows).withColumn("section", F.lit(1)))).collect()
+    entries = {rank: entry for entry, rank in bpe.read_ranks(RANKS).items()}
+    wanted = Counter()
+    for i, t in rows:
+        t = t or ""
+        parts = t.splitlines(keepends=True) if "\n" not in t else [x + "\n" for x in t.split("\n")[:-1]] + ([t.split("\n")[-1]] if t.split("\n")[-1] else [])
+        parts = [t] if "\n" not in t else parts
+        line_of = [k for k, part in enumerate(parts) for _ in range(len(part.encode()))]
+        major, started, at = Counter(), Counter(), 0
+        for token in TIKTOKEN.encode_ordinary(t):
+            own = Counter(line_of[at : at + len(entries[token])])
+            started[line_of[at]] += 1
+            major[max(own, key=lambda k: (own[k], -k))] += 1
+            at += len(entries[token])
+        begin = 0
+        for k, part in enumerate(parts):
+            wanted[i, k, begin, begin + len(part), major[k], started[k]] += 1
+            begin += len(part)
+    assert Counter((r["doc_id"], r["section"], r["start"], r["end"], r["n_tokens"], r["n_started"]) for r in got) == wanted
+
+
+def test_token_file_query_with_odd_ids(sf_path, spark, docs_of, odd):
+    """Null ids first, rows of one id by a hash of their text."""
+    rows = [*odd, (None, None), (5, "again")]
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    wanted, before = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])):
+        ids = [*ids_of("word_bpe_49k.json", t or ""), 1]
+        wanted.append((i, before, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        before += len(ids)
+    got = token_files.op7_token_files(spark, sf_path(documents=docs_of(*rows).withColumn("part", F.lit(1)))).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == wanted
+
+
+def test_packing_query_with_odd_ids(sf_path, spark, docs_of, odd):
+    rows = [*odd, (None, None), (5, "again"), (5, "again")]
+    got = packing.op8_best_fit_packing(spark, sf_path(documents=docs_of(*rows).withColumn("length", F.lit(1)))).collect()
+    wanted = Counter()
+    for i, t in rows:
+        ids = [*ids_of("byte_bpe_50k.json", t or ""), 0]
+        first = (len(ids) - 1) % packing.CAPACITY + 1
+        for k, at in enumerate([0, *range(first, len(ids), packing.CAPACITY)]):
+            own = ids[at : at + (packing.CAPACITY if k else first)]
+            wanted[i, k, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())] += 1
+    assert Counter(tuple(r)[:5] for r in got) == wanted
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    assert all((o == 0) if s != p else (o == po + pl) for (p, po, pl), (s, o, _) in zip([(None, 0, 0), *places], places))
+    assert all(o + n <= packing.CAPACITY for _, o, n in places)
