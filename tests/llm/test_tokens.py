@@ -113,6 +113,7 @@ def test_orc_files_have_what_readers_skip_by(spark, docs_of):
     assert all(orc.ORCFile(f).row_index_stride == token_files.INDEX_STRIDE for f in files)
     plan = rows.where("doc_id = 17")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,17)" in plan
+    assert sorted(r["doc_id"] for r in token_files.find(spark, path, [5, 2999, 10**9]).collect()) == [5, 2999]
     empty = common.work_path(spark, "orc-empty")
     token_files.write_ids(docs_of().limit(0), empty, P.path("word_bpe_49k.json"))
 
