@@ -6,6 +6,7 @@ import ctypes
 import os
 import re
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
@@ -14,6 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,8 @@ from graphweave.sources.pin import shared_dir
 
 #: Bound on an Arrow batch of texts on its way to a Python worker.
 BYTES_PER_BATCH = 2 << 20
+#: The driver is relieved no more often than every so many seconds, and its heap collected when more than this share of it is in use or reserved.
+RELIEF_EVERY, HEAP_SHARE = 5.0, 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +59,44 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
         df.write.parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read.work_path = path
+    relieve(spark)
     return read
 
 
+_relieved = 0.0
+
+
+def relieve(spark: SparkSession) -> None:
+    """Has the driver's JVM drop what ended queries left there, and return what it has freed.
+
+    Queries with many stages leave plans, broadcasts and task results to a heap that grows rather
+    than collect them, and freed memory in the pools of the C library's many threads.
+    """
+    global _relieved
+    if time.monotonic() - _relieved < RELIEF_EVERY:
+        return
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > HEAP_SHARE * heap.maxMemory():
+        spark._jvm.java.lang.System.gc()
+    trim(spark)
+    _relieved = time.monotonic()
+
+
+def trim(spark: SparkSession) -> str | None:
+    """The driver's JVM returns freed native memory to the system, and says how much; None where it can't."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    with suppress(Py4JError):  # JVMs before 17.0.9, and others, have no such command
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # the server's own class is not open to reflection, its interface is
+        kinds = new(jvm.java.lang.Class, 4)
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = jvm.java.lang.Class.forName(kind)
+        values = new(jvm.java.lang.Object, 4)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, values)
+    return None
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes work tables of ``materialize`` that nothing will read again; those that a result reads stay until the cluster's shared folder is cleaned."""
     for table in tables:

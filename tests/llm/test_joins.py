@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -355,3 +356,26 @@ def test_one_row_of_each_group_stays(spark, docs_of, odd):
     # texts of 3 and 4 shingles that share 3 are below 0.8
     kept = [(4, one), (8, two + " v"), (None, two), (8, three), (None, None), (None, None), (3, ""), (3, "")]
     assert sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs_of(*rows), "").collect()), key=str) == sorted(kept, key=str)
+
+
+def test_work_tables_relieve_the_driver(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = next(b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())  # counts whole collections
+
+    def written(every, share):
+        monkeypatch.setattr(common, "RELIEF_EVERY", every)
+        monkeypatch.setattr(common, "HEAP_SHARE", share)
+        monkeypatch.setattr(common, "_relieved", time.monotonic() if every else 0.0)
+        before, trims = old.getCollectionCount(), []
+        with monkeypatch.context() as patch:
+            patch.setattr(common, "trim", lambda spark, f=common.trim: trims.append(f(spark)))
+            assert common.materialize(spark.range(10), "relieved").count() == 10
+        return old.getCollectionCount() - before, trims
+
+    collections, trims = written(0.0, 0.0)
+    assert collections and len(trims) == 1
+    # a JVM of Linux that knows the command says what came of it
+    assert trims[0] is None or "rim" in trims[0]
+    collections, trims = written(0.0, 1.0)
+    assert not collections and len(trims) == 1
+    assert written(3600.0, 0.0) == (0, [])  # not again so soon
