@@ -42,7 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows like others; a null id comes after all others, and of rows with one id any may stay.
     Rows without words stay.
     """
-    rows = common.materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    rows = common.materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows", long=True)
     groups = JaccardJoin(rows, width=5, num=80, den=100, key="row").membership().select(F.col("doc_id").alias("row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     kept = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
@@ -80,5 +80,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = common.materialize(docs, f"stage-{k}")
+            docs = common.materialize(docs, f"stage-{k}", long=True)
     return docs

@@ -10,7 +10,7 @@ import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from contextlib import AbstractContextManager, contextmanager, suppress
+from contextlib import AbstractContextManager, ExitStack, contextmanager, suppress
 from pathlib import Path
 
 import numpy as np
@@ -24,6 +24,8 @@ from graphweave.sources.pin import shared_dir
 
 #: Bound on an Arrow batch of texts on its way to a Python worker.
 BYTES_PER_BATCH = 2 << 20
+#: Parquet looks at the sizes of pages and row groups from the first row on, not after a hundred, which can be gigabytes.
+LONG_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
 #: The driver is relieved no more often than every so many seconds, and its heap collected when more than this share of it is in use or reserved.
 RELIEF_EVERY, HEAP_SHARE = 5.0, 0.5
 
@@ -47,16 +49,21 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str, narrow: bool = False, long: bool = False) -> DataFrame:
     """Cuts the lineage: writes ``df`` to the shared folder and reads it back. The write's shuffle files go when it has ended.
 
     ``narrow`` tables, of a few numbers a row, are written in no more files than the cluster has cores.
+    ``long``: ``df`` reads or has texts or sets, and one may take megabytes. Its tables are then read
+    row by row rather than thousands at once, and it is written in pages that end by their size.
     """
     spark, path = df.sparkSession, work_path(df.sparkSession, label)
     if narrow:
         df = df.coalesce(spark.sparkContext.defaultParallelism)
-    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.parquet(path)
+    with ExitStack() as stack:
+        stack.enter_context(setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"))
+        if long:
+            stack.enter_context(setting(spark, "spark.sql.parquet.enableVectorizedReader", "false"))
+        df.write.options(**LONG_ROWS if long else {}).parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read.work_path = path
     relieve(spark)

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ LEAST_FILTER_BITS, MOST_FILTER_BITS = 16, 27
 SALTS, HOT = 256, 2048
 #: A task indexes copies of a set once, as long as it remembers them.
 SEEN = 200_000
-#: Words of 64 bits in the parity bitmap of every set, and in the one that large sets have besides.
+#: Words of 64 bits in the parity bitmap of every set, and at least in the one that large sets have besides, which grows with them.
 PARITY_WORDS, WIDE_WORDS, WIDE_FROM = 8, 128, 1000
 SINGLES_BELOW, PER_CLASS = 16, 64
 
@@ -116,6 +117,11 @@ def parity(tokens: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
     return np.packbits((np.bincount(buckets, minlength=64 * words) & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide_words(n: int) -> int:
+    """Words of a large set's own bitmap: a power of two, two bits a token at least, so that sets of any size are told apart."""
+    return max(WIDE_WORDS, 1 << max(0, (n - 1).bit_length() - 5))
+
+
 def xxhash(keys: np.ndarray) -> np.ndarray:
     """Spark's ``xxhash64`` of a bigint column."""
     # fixed values: the primes of the published 64-bit hash, and the seed that Spark takes
@@ -191,7 +197,7 @@ class JaccardJoin:
                     np.add.at(counters, (found & np.uint64(len(counters) - 1)).astype(np.int64), 1)
                     a, b = identity(found)
                     n.append(len(found)), one.append(a), two.append(b), bits.append(parity(found))
-                    wide.append(parity(found, WIDE_WORDS) if len(found) >= WIDE_FROM else None)
+                    wide.append(parity(found, wide_words(len(found))) if len(found) >= WIDE_FROM else None)
                 planes = np.array(bits, np.int64).reshape(-1, PARITY_WORDS).T
                 columns = [pd.arrays.IntegerArray(batch["doc_id"].to_numpy(np.int64), batch["nameless"].to_numpy(bool)), *[pd.array(x, "Int64") for x in (n, one, two, *planes)]]
                 yield pd.DataFrame(dict(zip(longs, columns)) | {"wide": pd.Series(wide, dtype=object), "block": None, "counts": None})
@@ -200,13 +206,18 @@ class JaccardJoin:
                 if part.any():
                     yield pd.DataFrame({c: pd.array([None], "Int64") for c in longs} | {"wide": [None], "block": [k], "counts": [part.tobytes()]})
 
-        both = common.materialize(self.docs.mapInPandas(common.tidied(measure), ", ".join(f"{c} bigint" for c in longs) + ", wide array<bigint>, block int, counts binary"), "sets")
+        both = common.materialize(self.docs.mapInPandas(common.tidied(measure), ", ".join(f"{c} bigint" for c in longs) + ", wide array<bigint>, block int, counts binary"), "sets", long=True)
         self.sets = both.where("block is null").select("doc_id", "n", "a", "b")
         # a class is numbered as it is written; ``rep`` is its least id, null if none of its rows has one
         classes = both.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in words])
         self.planes = common.materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
         self.classes = self.planes.select("a", "b", "n", "rep", "cid")
-        self.wide = common.materialize(both.where("wide is not null").groupBy("a").agg(F.first("wide").alias("wide")), "wide")
+        wide = [both.where("wide is not null").groupBy("a").agg(F.first("wide").alias("wide"))]
+        # and as the smallest set that can be similar has it: halves of a bitmap joined by exclusive or are the bitmap of half the width
+        while 1 << len(wide) - 1 < self.den / self.num:
+            halves = "zip_with(slice(wide, 1, size(wide) div 2), slice(wide, size(wide) div 2 + 1, size(wide) div 2), (p, q) -> p ^ q)"
+            wide.append(wide[-1].where(F.size("wide") > WIDE_WORDS).select("a", F.expr(halves).alias("wide")))
+        self.wide = common.materialize(reduce(DataFrame.unionAll, wide).withColumn("words", F.size("wide")), "wide", long=True)
         self.counters = np.zeros(1 << COUNTER_BITS, np.int64)
         blocks = both.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_sum_blocks, "block int, counts binary")
         for row in blocks.collect():  # as many counters as COUNTER_BITS says
@@ -300,10 +311,11 @@ class JaccardJoin:
         room = lambda d: f"(n_x + n_y - ({d})) * {self.num + self.den} >= 2 * (n_x + n_y) * {self.num}"
         known = attached(pairs.join(sides[0], "x"), sides[1], ["y"], "x")
         kept = common.materialize(known.where(room(differ)).select("x", "y", "n_x", "n_y").distinct(), "near")
-        large = kept.where(f"n_x >= {WIDE_FROM} and n_y >= {WIDE_FROM}").select("x", "y", "n_x", "n_y")
-        wide = [self.wide.select(F.col("a").alias(c), F.col("wide").alias(f"wide_{c}")) for c in "xy"]
+        words = f"greatest({WIDE_WORDS}, shiftleft(1, greatest(0, length(bin(least(n_x, n_y) - 1)) - 5)))"
+        large = kept.where(f"n_x >= {WIDE_FROM} and n_y >= {WIDE_FROM}").select("x", "y", "n_x", "n_y", F.expr(words).alias("words"))
+        wide = [self.wide.select(F.col("a").alias(c), "words", F.col("wide").alias(f"wide_{c}")) for c in "xy"]
         differ = "aggregate(zip_with(wide_x, wide_y, (p, q) -> bit_count(p ^ q)), 0, (t, p) -> t + p)"
-        large = attached(large.join(wide[0], "x"), wide[1], ["y"], "x").where(room(differ))
+        large = attached(large.join(wide[0], ["x", "words"]), wide[1], ["y", "words"], "x").where(room(differ))
         return kept.where(f"n_x < {WIDE_FROM} or n_y < {WIDE_FROM}").select("x", "y").unionAll(large.select("x", "y")).distinct(), kept
 
     def _sets_of(self, nodes: DataFrame) -> DataFrame:
@@ -327,12 +339,12 @@ class JaccardJoin:
                         rows.append((*own, found.view(np.int64)))
                 yield pd.DataFrame({"a": pd.array([r[0] for r in rows], "int64"), "b": pd.array([r[1] for r in rows], "int64"), "tokens": pd.Series([r[2] for r in rows], dtype=object)})
 
-        return common.materialize(self.docs.mapInPandas(common.tidied(tokens), "a bigint, b bigint, tokens array<bigint>"), "tokens")
+        return common.materialize(self.docs.mapInPandas(common.tidied(tokens), "a bigint, b bigint, tokens array<bigint>"), "tokens", long=True)
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Links (u, v: numbers of classes, u < v) among the pairs (x, y) of nodes; ``y`` may be in very many of them."""
         near = self._near(pairs)
-        pairs = common.materialize(near[0], "pairs", narrow=True)
+        pairs = common.materialize(near[0], "pairs", narrow=True, long=True)
         common.discard(near[1])
         nodes = pairs.select(F.col("x").alias("node")).unionAll(pairs.select(F.col("y").alias("node"))).distinct()
         tokens = self._sets_of(nodes)
@@ -342,7 +354,7 @@ class JaccardJoin:
         # x's tokens move with each pair, y's once for each task that has pairs of y
         compared = attached(pairs.join(left, "x"), right, ["y"], "x")
         linked = compared.where(f"cast({shared} as bigint) * {self.num + self.den} >= cast({both} as bigint) * {self.num}")
-        links = common.materialize(linked.select(F.least("c_x", "c_y").alias("u"), F.greatest("c_x", "c_y").alias("v")).where("u < v").distinct(), "links")
+        links = common.materialize(linked.select(F.least("c_x", "c_y").alias("u"), F.greatest("c_x", "c_y").alias("v")).where("u < v").distinct(), "links", long=True)
         common.discard(pairs, tokens)
         return links
 
@@ -350,7 +362,7 @@ class JaccardJoin:
         """Links (u, v) between classes, by number, that connect what is connected, and (node, component) of the linked classes."""
         # a member's place in its entry: fewest missed first, then by node; the first is the centre
         place = F.shiftleft(F.least("miss", F.lit(32767)).cast("bigint"), 48).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 48) - 1)))
-        index = common.materialize(self.entries(), "index")
+        index = common.materialize(self.entries(), "index", long=True)
         several = common.materialize(self._several(index), "several")
         with common.batches_of(self.spark, 50_000):
             cells = common.materialize(self._cells(index.withColumn("place", place), several), "cells")

@@ -379,3 +379,16 @@ def test_work_tables_relieve_the_driver(spark, monkeypatch):
     collections, trims = written(0.0, 1.0)
     assert not collections and len(trims) == 1
     assert written(3600.0, 0.0) == (0, [])  # not again so soon
+
+
+def test_long_texts_are_told_apart_before_their_sets_move(spark, docs_of):
+    """Their bitmaps grow with them, and differ in width by what their sizes do; work tables with long rows are read row by row."""
+    chance = random.Random(8)
+    texts = [" ".join(str(chance.randrange(10**6)) for _ in range(n)) for n in (33_000, 32_000, 30_000, 40_000)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(10 + k, " ".join(t.split()[: len(t.split()) * 9 // 10])) for k, t in enumerate(texts)]
+    join = ngram_join.JaccardJoin(docs_of(*rows), width=5, num=80, den=100)
+    nodes = {r["doc_id"]: r["a"] for r in join.sets.collect()}
+    pairs = spark.createDataFrame([(nodes[a], nodes[b]) for a in nodes for b in nodes if a < b], "x bigint, y bigint")
+    found = {frozenset((r["x"], r["y"])) for r in join._near(pairs)[0].collect()}
+    assert found == {frozenset((nodes[k], nodes[10 + k])) for k in range(4)}  # every link, and no other pair
+    assert {r["doc_id"]: r["component_id"] for r in join.membership().collect()} == {i: i % 10 for i, _ in rows}
