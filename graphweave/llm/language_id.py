@@ -31,6 +31,8 @@ BITS = 16
 #: Bound on the training rows of each language; above it, a hash of the id picks about so many.
 TRAIN_ROWS = 8_000
 BLOCK = 8192
+#: Texts are hashed together up to so many characters; a text that is longer goes piece by piece, so that its length costs time but little memory.
+PIECE = 400_000
 
 _letters: np.ndarray | None = None
 
@@ -53,11 +55,16 @@ def hashed_ngrams(texts: list[str], orders: tuple[int, ...] = ORDERS, bits: int
     joined = common.code_points("".join(f" {text.lower()} \0" for text in texts))
     ends = np.flatnonzero(joined == 0) if "\0" not in "".join(texts) else np.cumsum([len(t.lower()) + 3 for t in texts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64)
+    inside = np.ones(len(joined), bool)
+    inside[ends] = False
+    found, solid = _buckets(joined, inside, orders, bits)
+    return found, starts, np.add.reduceat(solid.astype(np.int64), starts) > 0
+
+
+def _buckets(joined: np.ndarray, inside: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The bucket of each order's n-gram at every code point, and which code points are letters."""
     points = _letter_table()[joined]
     solid = points != 32
-    inside = np.ones(len(points), bool)
-    inside[ends] = False
-    has_letter = np.add.reduceat(solid.astype(np.int64), starts) > 0
     found, void = [], np.uint32(1 << bits)
     code, any_solid, whole = points * np.uint32(0x9E3779B1), solid.copy(), inside.copy()
     for n in range(1, max(orders) + 1):
@@ -70,7 +77,36 @@ def hashed_ngrams(texts: list[str], orders: tuple[int, ...] = ORDERS, bits: int
             bucket = np.full(len(points), void, np.uint32)
             bucket[: len(code)] = np.where(any_solid & whole, mixed >> np.uint32(32 - bits), void)
             found.append(bucket)
-    return found, starts, has_letter
+    return found, solid
+
+
+def ngram_counts(text: str, orders: tuple[int, ...] = ORDERS, bits: int = BITS, piece: int = PIECE) -> tuple[np.ndarray, bool]:
+    """How often each bucket is hit by the n-grams of one text, all orders together, and whether it has a letter.
+
+    The same n-grams as those of ``hashed_ngrams``: pieces overlap by what an n-gram that begins in one needs of the next.
+    """
+    whole, reach = f" {text.lower()} \0", max(orders) - 1
+    counts, has_letter = np.zeros(2**bits + 1, np.int64), False
+    for begin in range(0, len(whole), piece):
+        joined = common.code_points(whole[begin : begin + piece + reach])
+        inside = np.ones(len(joined), bool)
+        inside[len(whole) - 1 - begin :] = False
+        found, solid = _buckets(joined, inside, orders, bits)
+        has_letter |= bool(solid[:piece].any())
+        for bucket in found:
+            counts += np.bincount(bucket[:piece], minlength=2**bits + 1)
+    return counts, has_letter
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[list[str], bool]]:
+    """Consecutive texts of about ``PIECE`` characters together, and whether it is a longer one, which comes alone."""
+    begin = 0
+    for k in [*[k for k, text in enumerate(texts) if len(text) > PIECE], len(texts)]:
+        for first, last in common.by_size(texts[begin:k], PIECE):
+            yield texts[begin + first : begin + last], False
+        if k < len(texts):
+            yield texts[k : k + 1], True
+        begin = k + 1
 
 
 @dataclass
@@ -87,13 +123,16 @@ class LanguageModel:
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         names, scores = [], []
-        for begin, end in common.by_size(texts, 400_000):
-            part = texts[begin:end]
-            buckets, starts, has_letter = hashed_ngrams(part, self.orders, self.bits)
-            total = np.zeros((len(part), len(self.languages)))
-            for bucket in buckets:
-                total += np.add.reduceat(self.log_prob[bucket], starts, axis=0, dtype=np.float64)
-            total = total / len(buckets) + self.log_prior
+        for part, long in _parts(texts):
+            if long:
+                counts, letter = ngram_counts(part[0], self.orders, self.bits)
+                total, has_letter = (counts @ self.log_prob.astype(np.float64))[None], np.array([letter])
+            else:
+                buckets, starts, has_letter = hashed_ngrams(part, self.orders, self.bits)
+                total = np.zeros((len(part), len(self.languages)))
+                for bucket in buckets:
+                    total += np.add.reduceat(self.log_prob[bucket], starts, axis=0, dtype=np.float64)
+            total = total / len(self.orders) + self.log_prior
             best = total.argmax(axis=1)
             share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
             names += [self.languages[k] if letter else UNDETERMINED for k, letter in zip(best, has_letter)]
@@ -119,8 +158,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             for name, group in batch.groupby("lang"):
                 texts = group["text"].tolist()
                 own = sums.setdefault(name, np.zeros(2**bits + 1, np.int64))
-                for begin, end in common.by_size(texts, 400_000):
-                    for bucket in hashed_ngrams(texts[begin:end], orders, bits)[0]:
+                for part, long in _parts(texts):
+                    if long:
+                        own += ngram_counts(part[0], orders, bits)[0]
+                        continue
+                    for bucket in hashed_ngrams(part, orders, bits)[0]:
                         own += np.bincount(bucket, minlength=2**bits + 1)
         for name, own in sums.items():
             for k in range(0, 2**bits, BLOCK):

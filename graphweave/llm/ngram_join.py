@@ -114,7 +114,12 @@ class Signatures:
 def parity(tokens: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
     """For each of ``64 * words`` buckets whether an odd number of tokens falls there."""
     buckets = (mix(tokens) % np.uint64(64 * words)).astype(np.int64)
-    return np.packbits((np.bincount(buckets, minlength=64 * words) & 1).astype(np.uint8)).view(np.int64)
+    if words > WIDE_WORDS:  # a byte a bucket, not the eight that bincount takes
+        odd = np.zeros(64 * words, np.uint8)
+        np.bitwise_xor.at(odd, buckets, np.uint8(1))
+    else:
+        odd = (np.bincount(buckets, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
 
 
 def wide_words(n: int) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,9 @@ import numpy as np
 from graphweave.llm import common
 
 SPACES = b" \t\n\x0b\x0c\r"
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+#: Words are hashed in pieces of about so many bytes, since each byte takes some forty while it is hashed.
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,8 +33,19 @@ _is_word[np.frombuffer(SPACES, np.uint8)] = 0
 _of_place = _stream(4096, 2) | np.uint64(1)
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """First byte and hash of each word of ``data``."""
+def word_hashes(data: bytes, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and hash of each word of ``data``, which is cut behind white space alone."""
+    begins, words, at = [], [], 0
+    while not begins or at < len(data):
+        found = _SPACE.search(data, at + piece)
+        end = found.end() if found else len(data)
+        begin, own = _hashes_of(data[at:end])
+        begins.append(begin + at), words.append(own)
+        at = end
+    return np.concatenate(begins), np.concatenate(words)
+
+
+def _hashes_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     global _of_place
     raw = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(raw) + 2, np.int8)
